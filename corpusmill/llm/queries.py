@@ -5,13 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusmill.llm.form_duplicates import collapse, form_duplicates
+from corpusmill.llm import mixing, quota_sample, tokens
 from corpusmill.runtime import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.corpus_units(*(load(spark, sf_dir, t) for t in ("val", "documents", "v13_shape_synth", "sources")))
+
+
+def p2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each row of val, documents and v13_shape_synth."""
+    snap = tokens.snapshot(_units(spark, sf_dir), None, ["tbl", "row_key"], ["source", "lang", "domain"])
+    return snap.drop("content_hash")
+
+
+def p2_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by source, language and domain and all coarser slices."""
+    dims = ["tbl", "source", "lang", "domain"]
+    snap = tokens.snapshot(_units(spark, sf_dir), None, ["row_key"], dims)
+    return tokens.rollups(tokens.cube(snap, dims), dims)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return form_duplicates(load(spark, sf_dir, "v12_ru_dialogues"))
 
@@ -20,6 +39,45 @@ def p3_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse(load(spark, sf_dir, "v12_ru_dialogues")).withColumnRenamed("id", "rec_id")
 
 
+def _fields() -> dict:
+    return {k: F.col(f"meta.{k}") for k in ("locale", "state", "persona")}
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets that can't be met: found by the sampling operator's needs."""
+    rows, targets = load(spark, sf_dir, "v13_shape_synth"), load(spark, sf_dir, "sample_targets")
+    drawn = quota_sample.sample(rows, targets, _fields(), F.col("shape"), "rec_id")
+    return quota_sample.report(rows, targets, _fields(), drawn).where("short").select("field_name", "category")
+
+
+def p7_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, targets = load(spark, sf_dir, "v13_shape_synth"), load(spark, sf_dir, "sample_targets")
+    return quota_sample.sample(rows, targets, _fields(), F.col("shape"), "rec_id").withColumnRenamed("id", "rec_id")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, targets = load(spark, sf_dir, "v13_shape_synth"), load(spark, sf_dir, "sample_targets")
+    drawn = quota_sample.sample(rows, targets, _fields(), F.col("shape"), "rec_id")
+    return quota_sample.report(rows, targets, _fields(), drawn)
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs, targets = load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets")
+    return docs, mixing.rates(mixing.source_tokens(docs, targets), targets)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1].where("short").select("source")
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(*_mix(spark, sf_dir))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(*_mix(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     found = {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit() and callable(v)}
     return dict(sorted(found.items(), key=lambda kv: (int(kv[0][1:].split("_")[0]), kv[0])))
