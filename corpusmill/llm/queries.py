@@ -8,12 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.form_duplicates import collapse, form_duplicates
-from corpusmill.llm import mixing, quota_sample, tokens
+from corpusmill.llm import leakage, mixing, quota_sample, residue, tokens
 from corpusmill.runtime import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_messages(residue.all_messages(load(spark, sf_dir, "v12_ru_dialogues"), load(spark, sf_dir, "endpoint_baseline")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _residue(spark, sf_dir).select("tbl", "row_key", "msg_idx")
+
+
+def p1_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residue messages by table and kind."""
+    return _residue(spark, sf_dir).groupBy("tbl", "label").count()
+
+
+def p1_clean_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.without_residue(load(spark, sf_dir, "v12_ru_dialogues"), load(spark, sf_dir, "endpoint_baseline"))[1].select("resp_id", "response")
+
+
+def p1_clean_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.without_residue(load(spark, sf_dir, "v12_ru_dialogues"), load(spark, sf_dir, "endpoint_baseline"))[0].select("rec_id", "messages")
+
+
 def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.corpus_units(*(load(spark, sf_dir, t) for t in ("val", "documents", "v13_shape_synth", "sources")))
 
@@ -61,6 +82,24 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quota_sample.report(rows, targets, _fields(), drawn)
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "cross_topic_regression"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).where("exact").select("doc_id", "item_id")
+
+
+def p8_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold an item's passage with other numbers, names or units put in consistently."""
+    return _leaks(spark, sf_dir).where("not exact and reparameterised").select("doc_id", "item_id", "n_windows")
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items that leaked and into how many documents."""
+    return _leaks(spark, sf_dir).where("exact").groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs, targets = load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets")
     return docs, mixing.rates(mixing.source_tokens(docs, targets), targets)
