@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.form_duplicates import collapse, form_duplicates
-from corpusmill.llm import leakage, mixing, quota_sample, residue, tokens
+from corpusmill.llm import language, leakage, mixing, quota_sample, residue, tokens
 from corpusmill.runtime import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,24 @@ def p3_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse(load(spark, sf_dir, "v12_ru_dialogues")).withColumnRenamed("id", "rec_id")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.mislabelled(load(spark, sf_dir, "v13_shape_synth"))
+
+
+def p6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The languages of every record with confidences."""
+    t = language.relabel(load(spark, sf_dir, "v13_shape_synth"))
+    return t.select("rec_id", "given", F.explode_outer("langs").alias("l")).select("rec_id", "given", "l.lang", "l.words", "l.confidence")
+
+
+def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment of the records that hold several languages."""
+    synth = load(spark, sf_dir, "v13_shape_synth")
+    model = language.synth_model(synth)
+    mixed = language.relabel(synth, model).where("size(langs) > 1").select("rec_id")
+    return language.segment_rows(synth.join(mixed, "rec_id", "left_semi"), "rec_id", language.contents(), model).withColumnRenamed("id", "rec_id")
+
+
 def _fields() -> dict:
     return {k: F.col(f"meta.{k}") for k in ("locale", "state", "persona")}
 
