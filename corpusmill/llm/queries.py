@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.form_duplicates import collapse, form_duplicates
-from corpusmill.llm import language, leakage, mixing, quota_sample, residue, tokens
+from corpusmill.llm import language, leakage, mixing, pairs, quota_sample, residue, tokens, truncation
 from corpusmill.runtime import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,19 @@ def p3_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse(load(spark, sf_dir, "v12_ru_dialogues")).withColumnRenamed("id", "rec_id")
 
 
+def _defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defects(load(spark, sf_dir, "v12_ru_dialogues"), load(spark, sf_dir, "endpoint_baseline"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.single(_defects(spark, sf_dir))
+
+
+def p5_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All defects of each pair with their posteriors."""
+    return pairs.labels(_defects(spark, sf_dir))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.mislabelled(load(spark, sf_dir, "v13_shape_synth"))
 
@@ -135,6 +148,18 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mix(spark, sf_dir))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(load(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source truncates."""
+    docs = load(spark, sf_dir, "documents")
+    cut = truncation.truncated(docs).select("doc_id", F.lit(1).alias("cut"))
+    t = docs.select("doc_id", "source").join(cut, "doc_id", "left")
+    return t.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.count("cut").alias("n_cut"), F.avg(F.coalesce("cut", F.lit(0))).alias("rate"))
+
+
 def queries() -> dict[str, Query]:
     found = {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit() and callable(v)}
     return dict(sorted(found.items(), key=lambda kv: (int(kv[0][1:].split("_")[0]), kv[0])))
