@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.form_duplicates import collapse, form_duplicates
-from corpusmill.llm import language, leakage, mixing, pairs, quota_sample, residue, tokens, truncation
+from corpusmill.llm import language, leakage, mixing, pairs, quota_sample, residue, split_overlap, tokens, truncation
 from corpusmill.runtime import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,21 @@ def p3_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse(load(spark, sf_dir, "v12_ru_dialogues")).withColumnRenamed("id", "rec_id")
 
 
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_overlap.overlaps(load(spark, sf_dir, "val"), load(spark, sf_dir, "train"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overlaps(spark, sf_dir).select(F.least("held_id", "train_id").alias("row_id_a"), F.greatest("held_id", "train_id").alias("row_id_b"))
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps per split and source: pairs, held-out rows touched, exact pairs."""
+    val = load(spark, sf_dir, "val").select(F.col("row_id").alias("held_id"), "split_name", "source")
+    t = _overlaps(spark, sf_dir).groupBy("held_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("share") == 1.0).alias("n_exact")).join(val, "held_id")
+    return t.groupBy("split_name", "source").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_pairs").alias("n_pairs"), F.sum("n_exact").alias("n_exact"))
+
+
 def _defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defects(load(spark, sf_dir, "v12_ru_dialogues"), load(spark, sf_dir, "endpoint_baseline"))
 
