@@ -6,7 +6,7 @@ import importlib
 
 from corpusmill.plans.catalog import QUERIES, SQL, Query
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("scalars",)
 
 
 def _load() -> None:
