@@ -16,6 +16,11 @@ LATIN = "A-Za-z"
 CJK = "一-鿿぀-ヿ가-힯"
 
 
+def let(c: Column, f) -> Column:
+    """f(c) with c computed once: a lambda's variable isn't inlined, a column expression is, per use and per element."""
+    return F.get(F.transform(F.array(c), lambda x: f(x)), F.lit(0))
+
+
 def squash(c: Column) -> Column:
     """Trim and make every run of white space one space."""
     return F.trim(F.regexp_replace(c, r"[ \t\r\n\f]+", " "))
@@ -137,14 +142,22 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def char_bigrams(c: Column) -> Column:
-    n = F.length(c)
-    return F.when(n < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substr(c, i, F.lit(2)))))
+    def of(t: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substr(t, i, F.lit(2)))
+        return F.when(F.length(t) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(pairs))
+
+    return let(c, of)
 
 
 def ngrams(ws: Column, n: int) -> Column:
     """Word n-grams, joined by spaces, in order."""
-    size = F.size(ws)
-    return F.when(size < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(ws, i, F.lit(n)), " ")))
+
+    def of(w: Column) -> Column:
+        size = F.size(w)
+        runs = F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+        return F.when(size < n, F.array().cast("array<string>")).otherwise(runs)
+
+    return let(ws, of)
 
 
 def window_hours(c: Column) -> Column:

@@ -36,21 +36,24 @@ def over_frequency(rows: DataFrame, key: Column, least: int) -> DataFrame:
     return rows.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
 
 
-def _dot_blocks(threshold: float, block: int):
-    """Similar pairs of two blocks of vectors in one co-grouped task of bounded size."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("id_a", pa.int64()), ("id_b", pa.int64()), ("sim", pa.float64())])
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        ids_a, ids_b = left.column("id").to_numpy(), right.column("id").to_numpy()
-        a = np.array(left.column("v").to_pylist(), float)
-        b = np.array(right.column("v").to_pylist(), float)
-        a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
-        b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
-        sim = a @ b.T
-        i, j = np.nonzero((sim > threshold) & (ids_a[:, None] < ids_b[None, :]))
-        return pa.table([pa.array(ids_a[i]), pa.array(ids_b[j]), pa.array(sim[i, j])], schema=schema)
+def _dot_blocks(threshold: float):
+    """Similar pairs of two blocks of vectors, which come as one group of bounded size."""
+    schema = pa.schema([("id_a", pa.int64()), ("id_b", pa.int64()), ("sim", pa.float64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_numpy()
+        v = np.array(table.column("v").to_pylist(), float)
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+        left = np.flatnonzero(table.column("blk").to_numpy() == table.column("x").to_numpy())
+        right = np.flatnonzero(table.column("blk").to_numpy() == table.column("y").to_numpy())
+        sim = v[left] @ v[right].T
+        same = table.column("x")[0].as_py() == table.column("y")[0].as_py()
+        ok = sim > threshold
+        if same:
+            ok &= ids[left][:, None] < ids[right][None, :]
+        i, j = np.nonzero(ok)
+        a, b = ids[left][i], ids[right][j]
+        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sim[i, j])], schema=schema)
 
     return run
 
@@ -58,17 +61,15 @@ def _dot_blocks(threshold: float, block: int):
 def similar_pairs(vectors: DataFrame, id_col: str, vec_col: str, threshold: float, block: int = 2048) -> DataFrame:
     """(id_a < id_b, sim) of all pairs over a cosine threshold, exactly.
 
-    Vectors fall into blocks by hash; every block meets every other one once, in
-    a task of at most about block x block products.  The work is quadratic by
-    definition; memory per task isn't.
+    Vectors fall into blocks by hash; every pair of blocks meets in one task of
+    about block x block products.  The work is quadratic by definition; memory
+    per task isn't.  Null vectors match nothing, zero vectors have cosine 0.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
+    blocks = max(1, -(-vectors.count() // block))
     tagged = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("blk"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = tagged.withColumn("other", every).select(F.col("blk").alias("x"), F.col("other").alias("y"), "id", "v")
-    right = tagged.withColumn("other", every).select(F.col("other").alias("x"), F.col("blk").alias("y"), "id", "v")
-    return left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(lambda a, b: _dot_blocks(threshold, block)(a, b), "id_a long, id_b long, sim double")
+    met = tagged.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = met.select("id", "v", "blk", F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"))
+    return met.groupBy("x", "y").applyInArrow(_dot_blocks(threshold), "id_a long, id_b long, sim double")
 
 
 def greedy_keep(ids: DataFrame, pairs: DataFrame, id_col: str = "id") -> DataFrame:

@@ -6,7 +6,7 @@ import importlib
 
 from corpusmill.plans.catalog import QUERIES, SQL, Query
 
-MODULES: tuple[str, ...] = ("scalars",)
+MODULES: tuple[str, ...] = ("scalars", "dialogues")
 
 
 def _load() -> None:
