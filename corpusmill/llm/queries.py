@@ -24,7 +24,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Residue messages by table and kind."""
-    return _residue(spark, sf_dir).groupBy("tbl", "label").count()
+    return _residue(spark, sf_dir).groupBy("tbl", "residue").count()
 
 
 def p1_clean_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
