@@ -46,7 +46,8 @@ def quota_rank(keyed: DataFrame, groups: list[str], key: str) -> DataFrame:
 def quota(rows: DataFrame, id_col: str, group: Column, quotas: DataFrame, seed: int = 42) -> DataFrame:
     """At most ``quotas.n`` rows per ``quotas.grp``, those of smallest key."""
     keyed = rows.withColumn("grp", group).where("grp is not null").withColumn("_k", draw_key(F.col(id_col), seed))
-    return quota_rank(keyed, ["grp"], "_k").join(quotas, "grp").where(F.col("_rank") <= F.col("n")).drop("_k", "_rank", "n")
+    most = quotas.select("grp", F.col("n").alias("_most"))
+    return quota_rank(keyed, ["grp"], "_k").join(most, "grp").where(F.col("_rank") <= F.col("_most")).drop("_k", "_rank", "_most")
 
 
 def oversample(rows: DataFrame, weight: Column) -> DataFrame:
