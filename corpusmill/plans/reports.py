@@ -14,7 +14,13 @@ from corpusmill.runtime import load
 
 BANNED = ["обратись к специалисту", "понимаю твои чувства", "маманға жүгініңіз", "please contact a professional"]
 REASONS = ["EMPTY", "TOO_SHORT", "BANNED_PHRASE", "MANY_QUESTIONS", "TOO_LONG", "MARKUP"]
-R = F.col("response")
+
+
+def R():  # noqa: N802
+    """The answer; a function, as columns can't be made before a session is there."""
+    return F.col("response")
+
+
 
 CHECKED = (
     "checked AS (SELECT *, CASE WHEN response IS NULL OR trim(response) = '' THEN 'EMPTY' WHEN length(response) < 40 THEN 'TOO_SHORT' WHEN "
@@ -27,8 +33,8 @@ TOK = "list_filter(string_split_regex(regexp_replace(lower({0}), '[^a-z0-9_" + C
 def checks() -> CheckSet:
     """The report's row checks in order."""
     return CheckSet(
-        ("EMPTY", R.isNull() | (F.trim(R) == "")), ("TOO_SHORT", F.length(R) < 40), ("BANNED_PHRASE", text.contains_any(R, BANNED)),
-        ("MANY_QUESTIONS", text.count_of(R, "?") > 2), ("TOO_LONG", F.length(R) > 330), ("MARKUP", R.rlike("[<>{}]")),
+        ("EMPTY", R().isNull() | (F.trim(R()) == "")), ("TOO_SHORT", F.length(R()) < 40), ("BANNED_PHRASE", text.contains_any(R(), BANNED)),
+        ("MANY_QUESTIONS", text.count_of(R(), "?") > 2), ("TOO_LONG", F.length(R()) > 330), ("MARKUP", R().rlike("[<>{}]")),
     )
 
 
@@ -102,14 +108,14 @@ def first_n_samples(spark, sf_dir):
 
 @query(f"SELECT config, count(DISTINCT g) AS n_distinct, count(*) AS n_all, count(DISTINCT g) / count(*) AS distinct_2 FROM (SELECT config, unnest(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i+1])) AS g FROM (SELECT config, {TOK.format('response')} AS w FROM endpoint_baseline WHERE response IS NOT NULL AND config IS NOT NULL)) GROUP BY config")
 def distinct_2_by_config(spark, sf_dir):
-    return evaluation.distinct_n(load(spark, sf_dir, "endpoint_baseline").where("response is not null and config is not null"), ["config"], R)
+    return evaluation.distinct_n(load(spark, sf_dir, "endpoint_baseline").where("response is not null and config is not null"), ["config"], R())
 
 
 @query("SELECT config, count(*) AS n, avg((coalesce(regexp_matches(lower(response), '^(it sounds|похоже|i hear|здесь есть)'), false))::INT) AS canned_rate, avg(length(response)) AS mean_len, avg((fallback_suspected)::INT) AS fallback_rate, max(latency_s) AS max_latency, avg(latency_s) AS mean_latency FROM endpoint_baseline WHERE config IS NOT NULL GROUP BY config")
 def summarize_config(spark, sf_dir):
-    canned = F.coalesce(F.lower(R).rlike("^(it sounds|похоже|i hear|здесь есть)"), F.lit(False))
+    canned = F.coalesce(F.lower(R()).rlike("^(it sounds|похоже|i hear|здесь есть)"), F.lit(False))
     return load(spark, sf_dir, "endpoint_baseline").where("config is not null").groupBy("config").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(canned.cast("double")).alias("canned_rate"), F.avg(F.length(R)).alias("mean_len"), F.avg(F.col("fallback_suspected").cast("double")).alias("fallback_rate"), F.max("latency_s").alias("max_latency"), F.avg("latency_s").alias("mean_latency")
+        F.count(F.lit(1)).alias("n"), F.avg(canned.cast("double")).alias("canned_rate"), F.avg(F.length(R())).alias("mean_len"), F.avg(F.col("fallback_suspected").cast("double")).alias("fallback_rate"), F.max("latency_s").alias("max_latency"), F.avg("latency_s").alias("mean_latency")
     )
 
 
@@ -127,7 +133,7 @@ def latency_stats(spark, sf_dir):
 
 @query("SELECT CASE WHEN n BETWEEN 2 AND 4 THEN n::VARCHAR ELSE 'other' END AS bucket, count(*) AS n_rows FROM (SELECT greatest(len(regexp_extract_all(response, '[^.!?]+[.!?]+')), 1) AS n FROM endpoint_baseline WHERE response IS NOT NULL) GROUP BY 1")
 def sentence_distribution(spark, sf_dir):
-    n = text.sentences_closed(R)
+    n = text.sentences_closed(R())
     t = load(spark, sf_dir, "endpoint_baseline").where("response is not null")
     return t.groupBy(F.when(n.between(2, 4), n.cast("string")).otherwise("other").alias("bucket")).agg(F.count(F.lit(1)).alias("n_rows"))
 
@@ -210,7 +216,7 @@ def split_buckets(spark, sf_dir):
 
 @query("SELECT metric, config, value FROM (SELECT config, avg(latency_s) AS latency, avg(length(response)) AS length, avg(voice_retry_count) AS retries FROM endpoint_baseline WHERE config IS NOT NULL GROUP BY config) UNPIVOT (value FOR metric IN (latency, length, retries))")
 def metric_rows(spark, sf_dir):
-    g = load(spark, sf_dir, "endpoint_baseline").where("config is not null").groupBy("config").agg(F.avg("latency_s").alias("latency"), F.avg(F.length(R)).alias("length"), F.avg("voice_retry_count").alias("retries"))
+    g = load(spark, sf_dir, "endpoint_baseline").where("config is not null").groupBy("config").agg(F.avg("latency_s").alias("latency"), F.avg(F.length(R())).alias("length"), F.avg("voice_retry_count").alias("retries"))
     return g.unpivot("config", ["latency", "length", "retries"], "metric", "value").select("metric", "config", "value")
 
 

@@ -10,23 +10,29 @@ from corpusmill.operators.rules import Rule, RuleSet
 from corpusmill.plans.catalog import query
 from corpusmill.runtime import load
 
-R = F.col("response")
+
+
+def R():  # noqa: N802
+    """The answer; a function, as columns can't be made before a session is there."""
+    return F.col("response")
+
+
 
 
 @query()
 def clean_model_text(spark, sf_dir):
     """Backreferences have no SQL counterpart; checked against Python in the tests."""
-    return load(spark, sf_dir, "endpoint_baseline").select("resp_id", cleaning.clean_chain(R).alias("value"))
+    return load(spark, sf_dir, "endpoint_baseline").select("resp_id", cleaning.clean_chain(R()).alias("value"))
 
 
 @query()
 def complete_sentence_head(spark, sf_dir):
-    return load(spark, sf_dir, "endpoint_baseline").select("resp_id", cleaning.complete_head(R).alias("value"))
+    return load(spark, sf_dir, "endpoint_baseline").select("resp_id", cleaning.complete_head(R()).alias("value"))
 
 
 @query()
 def strip_latin_leaks(spark, sf_dir):
-    return load(spark, sf_dir, "endpoint_baseline").select("resp_id", cleaning.strip_latin_leaks(R).alias("value"))
+    return load(spark, sf_dir, "endpoint_baseline").select("resp_id", cleaning.strip_latin_leaks(R()).alias("value"))
 
 
 @query()
@@ -37,7 +43,7 @@ def normalize_nfkc(spark, sf_dir):
 @query("SELECT resp_id, CASE WHEN len(t) = 0 THEN '' WHEN len(list_filter(t, lambda x: x = 'and')) > 0 THEN array_to_string(t[len(t) - list_position(list_reverse(t), 'and') + 2:], ' ') WHEN list_contains(t, 'the') THEN '' ELSE array_to_string(t, ' ') END AS value FROM (SELECT resp_id, string_split(lower(coalesce(response, '')), ' ') AS t FROM endpoint_baseline)")
 def split_think_tokens(spark, sf_dir):
     """Any pair of marks; words stand in for special tokens here."""
-    t = F.split(F.lower(F.coalesce(R, F.lit(""))), " ")
+    t = F.split(F.lower(F.coalesce(R(), F.lit(""))), " ")
     return load(spark, sf_dir, "endpoint_baseline").select("resp_id", F.array_join(cleaning.answer_after_thinking(t, "the", "and"), " ").alias("value"))
 
 
@@ -100,13 +106,13 @@ def rule_first_violation(spark, sf_dir):
 
 @query("SELECT resp_id, (n = 0 OR (n = 1 AND ends_with(rtrim(response), '?'))) AS one_closing_question FROM (SELECT resp_id, response, coalesce(length(response) - length(replace(response, '?', '')), 0) AS n FROM endpoint_baseline)")
 def one_closing_question(spark, sf_dir):
-    return load(spark, sf_dir, "endpoint_baseline").select("resp_id", rules.last_sentence_asks(R).alias("one_closing_question"))
+    return load(spark, sf_dir, "endpoint_baseline").select("resp_id", rules.last_sentence_asks(R()).alias("one_closing_question"))
 
 
 @query("SELECT split_part(k, ':', 1) AS pattern, count(*) AS n FROM (SELECT unnest(list_filter(['ask:' || CASE WHEN contains(response, '?') THEN 'y' END, 'shout:' || CASE WHEN contains(response, '!') THEN 'y' END, 'list:' || CASE WHEN regexp_matches(response, '(?m)^- ') THEN 'y' END], lambda x: x IS NOT NULL)) AS k FROM endpoint_baseline WHERE response IS NOT NULL) GROUP BY 1")
 def pattern_histogram(spark, sf_dir):
     flag = lambda name, cond: F.when(cond, F.lit(f"{name}:y"))
-    hits = F.array_compact(F.array(flag("ask", F.contains(R, F.lit("?"))), flag("shout", F.contains(R, F.lit("!"))), flag("list", R.rlike("(?m)^- "))))
+    hits = F.array_compact(F.array(flag("ask", F.contains(R(), F.lit("?"))), flag("shout", F.contains(R(), F.lit("!"))), flag("list", R().rlike("(?m)^- "))))
     t = load(spark, sf_dir, "endpoint_baseline").where("response is not null").select(F.explode(hits).alias("k"))
     return t.groupBy(F.split("k", ":")[0].alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -13,7 +13,7 @@ def values(spark, f, rows):
 
 def test_clean_chain(spark):
     rows = ["Assistant: да  да да да !!!!", "a ,b.....\n\n\n\nc", "про́сто", "", None, "ok ok fine"]
-    assert values(spark, cleaning.clean_chain, rows) == ["да!", "a,b...\n\nc", "просто", "", None, "ok ok fine"]
+    assert values(spark, cleaning.clean_chain, rows) == ["да!!", "a,b...\n\nc", "просто", "", None, "ok ok fine"]
 
 
 def test_complete_head(spark):
@@ -27,7 +27,7 @@ def test_thinking(spark):
 
 
 def test_latin_leaks(spark):
-    assert values(spark, cleaning.strip_latin_leaks, ["это очень burnout (very bad) чувство, да", "hello", "да one two", None]) == ["это очень чувство, да", "hello", None, None]
+    assert values(spark, cleaning.strip_latin_leaks, ["это очень burnout (very bad) чувство, да, и оно всё никак не проходит", "hello", "да one two", None]) == ["это очень чувство, да, и оно всё никак не проходит", "hello", None, None]
 
 
 def test_stable_pick_against_python(spark):
