@@ -18,28 +18,29 @@ def hash_split(rows: DataFrame, id_col: str, per_mille: int, seed: int = 42) ->
 
 
 def stratified_split(rows: DataFrame, id_col: str, stratum: Column, share: float, seed: int = 42) -> DataFrame:
-    """Exactly floor(n x share + 0.5) validation rows per stratum, those of smallest key.
-
-    The count joins back as one row per stratum; ranking is per stratum and key
-    bucket, so no task sorts a whole stratum (see ``quota_rank``).
-    """
+    """Exactly floor(n x share + 0.5) validation rows per stratum, those of smallest key."""
     keyed = rows.withColumn("_s", F.coalesce(stratum, F.lit(""))).withColumn("_k", draw_key(F.col(id_col), seed))
-    need = keyed.groupBy("_s").agg(F.floor(F.count(F.lit(1)) * share + 0.5).alias("_need"))
-    ranked = quota_rank(keyed, ["_s"], "_k")
-    return ranked.join(need, "_s").withColumn("split", F.when(F.col("_rank") <= F.col("_need"), "val").otherwise("train")).drop("_s", "_k", "_need", "_rank")
+    ranked = bucket_rank(keyed, ["_s"], F.col("_k"), F.substring("_k", 1, 2))
+    need = F.floor(F.col("_total") * share + 0.5)
+    return ranked.withColumn("split", F.when(F.col("_rank") <= need, "val").otherwise("train")).drop("_s", "_k", "_total", "_rank")
 
 
-def quota_rank(keyed: DataFrame, groups: list[str], key: str) -> DataFrame:
-    """``_rank`` of each row within its groups by key, without one task per group.
+def bucket_rank(rows: DataFrame, groups: list[str], order: Column, bucket: Column, only: DataFrame | None = None) -> DataFrame:
+    """``_rank`` of each row within its groups and the group's ``_total``, without one task per group.
 
-    Rows are ranked within 256 key ranges; the rows before a range come from a
-    small table of counts.  A group with a third of all rows is 256 tasks' work.
+    ``bucket`` must be monotone in ``order``.  Rows are ranked within a bucket;
+    the rows before a bucket come from a small table of counts, joined on group
+    and bucket.  A group with a third of all rows is as many tasks as it has
+    buckets.  ``only`` (a row per group) limits the work to its groups and adds
+    its columns.
     """
-    t = keyed.withColumn("_b", F.substring(key, 1, 2))
+    t = rows.withColumn("_b", bucket)
     counts = t.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = F.row_number().over(Window.partitionBy(*groups, "_b").orderBy(key))
+    upto = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))).withColumn("_total", F.sum("_n").over(Window.partitionBy(*groups))).drop("_n")
+    if only is not None:
+        base = base.join(only, groups)
+    within = F.row_number().over(Window.partitionBy(*groups, "_b").orderBy(order))
     return t.withColumn("_in", within).join(base, [*groups, "_b"]).withColumn("_rank", F.col("_in") + F.col("_before")).drop("_in", "_b", "_before")
 
 
@@ -47,7 +48,15 @@ def quota(rows: DataFrame, id_col: str, group: Column, quotas: DataFrame, seed:
     """At most ``quotas.n`` rows per ``quotas.grp``, those of smallest key."""
     keyed = rows.withColumn("grp", group).where("grp is not null").withColumn("_k", draw_key(F.col(id_col), seed))
     most = quotas.select("grp", F.col("n").alias("_most"))
-    return quota_rank(keyed, ["grp"], "_k").join(most, "grp").where(F.col("_rank") <= F.col("_most")).drop("_k", "_rank", "_most")
+    ranked = bucket_rank(keyed, ["grp"], F.col("_k"), F.substring("_k", 1, 2), most)
+    return ranked.where(F.col("_rank") <= F.col("_most")).drop("_k", "_rank", "_most", "_total")
+
+
+def slots(rows: DataFrame, id_col: str, group: Column, width: int = 100_000) -> DataFrame:
+    """``slot``: the row's place within its group by id; sort by (slot, group) to interleave the groups."""
+    t = rows.withColumn("_g", F.coalesce(group, F.lit("")))
+    ranked = bucket_rank(t, ["_g"], F.col(id_col), F.floor(F.col(id_col) / width))
+    return ranked.withColumn("slot", F.col("_rank").cast("int")).drop("_g", "_rank", "_total")
 
 
 def oversample(rows: DataFrame, weight: Column) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import lang, text
@@ -256,8 +255,8 @@ def batch_expansion(spark, sf_dir):
 @query("SELECT doc_id, source, lang, row_number() OVER (PARTITION BY coalesce(lang, '') ORDER BY doc_id) AS slot, ((doc_id - 1) % 7)::INT AS bucket FROM documents")
 def interleave_slots(spark, sf_dir):
     """Round-robin order by language: sort by (slot, lang) to interleave."""
-    w = Window.partitionBy(F.coalesce("lang", F.lit(""))).orderBy("doc_id")
-    return load(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.row_number().over(w).alias("slot"), F.pmod(F.col("doc_id") - 1, F.lit(7)).cast("int").alias("bucket"))
+    t = sampling.slots(load(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id", F.col("lang"))
+    return t.withColumn("bucket", F.pmod(F.col("doc_id") - 1, F.lit(7)).cast("int"))
 
 
 @query(f"SELECT doc_id, lang, CASE WHEN length(regexp_replace(text, '[^әғқңөұүһіӘҒҚҢӨҰҮҺІ]', '', 'g')) > length(regexp_replace(text, '[^{CYRILLIC}]', '', 'g')) * 0.05::DOUBLE THEN 'kk' WHEN length(regexp_replace(text, '[^{CYRILLIC}]', '', 'g')) > length(regexp_replace(text, '[^A-Za-z]', '', 'g')) THEN 'ru' ELSE 'en' END AS detected FROM documents WHERE lang IS NOT NULL AND lower(trim(lang)) <> detected")
