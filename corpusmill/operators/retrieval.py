@@ -36,9 +36,10 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text: str, k1: float
     """
     post, lengths, df = postings(docs, id_col, text)
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
-    raw = df.join(F.broadcast(stats)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("idf").alias("mean_idf"))  # one row
-    idf = raw.join(F.broadcast(mean)).select("term", "n", "avgdl", F.when(F.col("idf") < 0, eps * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
+    raw = df.select("term", "df", stats.select("n").scalar().alias("n"), stats.select("avgdl").scalar().alias("avgdl"))
+    raw = raw.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.agg(F.avg("idf")).scalar()
+    idf = raw.select("term", "n", "avgdl", F.when(F.col("idf") < 0, eps * mean).otherwise(F.col("idf")).alias("idf"))
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term"))
     hit = asked.join(idf, "term").join(post, "term").join(lengths, "id")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
@@ -77,3 +78,22 @@ def sufficiency(scored: DataFrame, fully: float, partially: float) -> DataFrame:
         .when(F.col("best") >= fully, "fully").otherwise("partially")
     )
     return g.select("query_id", state.alias("state"), F.when(state == "fully", F.col("n_fully")).when(state == "partially", F.col("n_partially")).otherwise(0).alias("n_evidence"), F.when(state == "fully", F.col("mean_fully")).when(state == "partially", F.col("mean_partially")).alias("similarity"))
+
+
+def consensus(samples: DataFrame, group: str, id_col: str, vec_col: str) -> DataFrame:
+    """(group, consensus, chosen): mean pairwise cosine of each group and its most central sample.
+
+    With u the unit vectors and S their sum, the mean over pairs is
+    (S.S - n) / (n (n - 1)) and a sample's mean against the others
+    (u.S - 1) / (n - 1): two passes over rows, no pairs.  Groups of one sample
+    have no consensus (null); ties of centrality go to the smaller id.
+    """
+    v = F.col(vec_col).cast("array<double>")
+    norm = F.sqrt(dot(v, v))
+    unit = samples.select(group, F.col(id_col).alias("id"), F.transform(v, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0))).alias("u"))
+    parts = unit.select(group, F.posexplode("u").alias("i", "x")).groupBy(group, "i").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
+    total = parts.groupBy(group).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda p: p["s"]).alias("S"))  # one entry per dimension
+    pairs = F.col("n") * (F.col("n") - 1)
+    central = F.round(F.try_divide(dot(F.col("u"), F.col("S")) - 1, F.col("n") - 1), 9)
+    best = unit.join(total, group).groupBy(group).agg(F.max_by("id", F.struct(central, -F.col("id"))).alias("chosen"))
+    return total.select(group, F.try_divide(dot(F.col("S"), F.col("S")) - F.col("n"), pairs).alias("consensus")).join(best, group)

@@ -213,8 +213,8 @@ def held_out_routing(spark, sf_dir):
     snippets = items.groupBy().agg(F.collect_set("s").alias("snips"))
     if items.count() > 10_000:
         raise ValueError("too many snippets for a scan; use the window join of the leakage operator")
-    docs = load(spark, sf_dir, "documents").join(F.broadcast(snippets))
-    hit = F.exists("snips", lambda s: F.contains(F.lower("text"), s))
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"), snippets.scalar().alias("snips"))
+    hit = F.exists("snips", lambda s: F.contains("low", s))
     return docs.select("doc_id", F.when(hit, "val").otherwise("train").alias("split"))
 
 

@@ -163,8 +163,8 @@ def cross_group_genericness(spark, sf_dir):
 @query("SELECT label, round(avg(list_cosine_similarity(e.embedding::DOUBLE[], c.v)), 9) AS mean_cosine FROM embeddings e, (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 1) c GROUP BY label")
 def similarity_to_reference(spark, sf_dir):
     e = load(spark, sf_dir, "embeddings")
-    ref = F.broadcast(e.where("vec_id = 1").select(F.col("embedding").alias("v")))  # one row
-    return e.join(ref).groupBy("label").agg(F.round(F.avg(retrieval.cosine(F.col("embedding"), F.col("v"))), 9).alias("mean_cosine"))
+    ref = e.where("vec_id = 1").select("embedding").scalar()  # the fixed reference vector
+    return e.select("label", "embedding", ref.alias("v")).groupBy("label").agg(F.round(F.avg(retrieval.cosine(F.col("embedding"), F.col("v"))), 9).alias("mean_cosine"))
 
 
 # --- joins and set operations ---
