@@ -36,8 +36,8 @@ def source_tokens(docs: DataFrame, targets: DataFrame, **kw) -> DataFrame:
 def rates(have: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, have, need, cap, rate, short) per listed source."""
     caps = targets.groupBy("source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap"))
-    total = have.agg(F.sum("have").alias("total"))
-    t = have.join(caps, "source").join(F.broadcast(total)).fillna(0, ["share", "cap", "total"])  # one row
+    total = have.agg(F.coalesce(F.sum("have"), F.lit(0))).scalar()
+    t = have.join(caps, "source").fillna(0, ["share", "cap"]).withColumn("total", total)
     need = F.col("share") * F.col("total")
     return t.select(
         "source", "have", need.alias("need"), "cap",
@@ -61,7 +61,6 @@ def shares(docs: DataFrame, source_rates: DataFrame, id_col: str = "doc_id", see
     rows = rows.withColumn("copies", (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
     counted = with_token_counts(rows.where("copies > 0").select("source", "copies", "text"), "text", **kw)
     got = counted.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("mixed_tokens"))
-    total = got.agg(F.sum("mixed_tokens").alias("total"))
-    return source_rates.join(got, "source", "left").fillna(0, ["mixed_tokens"]).join(F.broadcast(total)).select(
-        "source", F.col("need").alias("target_tokens"), "mixed_tokens", (F.col("mixed_tokens") / F.col("total")).alias("mixed_share"), "short"
-    )
+    total = got.agg(F.sum("mixed_tokens")).scalar()
+    t = source_rates.join(got, "source", "left").fillna(0, ["mixed_tokens"]).withColumn("total", total)
+    return t.select("source", F.col("need").alias("target_tokens"), "mixed_tokens", F.try_divide("mixed_tokens", "total").alias("mixed_share"), "short")

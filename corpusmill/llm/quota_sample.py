@@ -34,11 +34,11 @@ def needs(rows: DataFrame, targets: DataFrame, fields: dict[str, Column], fracti
 
     needed = max(min_rows, target_share x floor(fraction x all rows)).
     """
-    total = rows.agg(F.floor(F.count(F.lit(1)) * F.lit(fraction) + F.lit(1e-9)).alias("tenth"))
+    tenth = rows.agg(F.floor(F.count(F.lit(1)) * F.lit(fraction) + F.lit(1e-9))).scalar()
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("field_name"), normal(c).alias("category")) for k, c in fields.items()])).alias("p")
     have = rows.select(pairs).select("p.*").groupBy("field_name", "category").agg(F.count(F.lit(1)).alias("available"))
     want = targets.groupBy("field_name", "category").agg(F.sum("target_share").alias("share"), F.max("min_rows").alias("least")).fillna(0, ["share", "least"])
-    t = want.join(have, ["field_name", "category"], "left").fillna(0, ["available"]).join(F.broadcast(total))
+    t = want.join(have, ["field_name", "category"], "left").fillna(0, ["available"]).withColumn("tenth", tenth)
     needed = F.greatest(F.col("least").cast("double"), F.col("share") * F.col("tenth"))
     return t.select("field_name", "category", "available", needed.alias("needed"), (F.col("available") < needed).alias("short"))
 
