@@ -277,3 +277,23 @@ def test_unify_messages(spark):
     m = "array<struct<role:string,content:string>>"
     t = spark.createDataFrame([(None, [("user", "c")], None), ([("user", "m")], None, None), (None, None, "<|im_start|>user\nt<|im_end|>")], f"messages {m}, conversations {m}, text string")
     assert [r["messages"][0]["content"] for r in files.unify_messages(t).collect()] == ["c", "m", "t"]
+
+
+def test_consensus_against_pairs(spark):
+    rng = np.random.default_rng(6)
+    v = {i: rng.normal(size=3) for i in range(12)}
+    v[12] = v[3]  # a tie of centrality
+    t = spark.createDataFrame([(i, "a" if i != 5 else "lone", x.tolist()) for i, x in v.items()], "vec_id long, label string, e array<double>")
+    got = {r["label"]: (r["consensus"], r["chosen"]) for r in retrieval.consensus(t, "label", "vec_id", "e").collect()}
+    u = {i: x / np.linalg.norm(x) for i, x in v.items() if i != 5}
+    mean = {i: np.mean([u[i] @ u[j] for j in u if j != i]) for i in u}
+    assert abs(got["a"][0] - np.mean(list(mean.values()))) < 1e-9
+    assert got["a"][1] == min(u, key=lambda i: (-round(mean[i], 9), i))
+    assert got["lone"] == (None, 5)
+
+
+def test_slots_and_bucket_rank(spark):
+    t = spark.createDataFrame([(i, "a" if i % 4 else None) for i in range(200)], "doc_id long, lang string")
+    got = {(r["doc_id"]): r["slot"] for r in sampling.slots(t, "doc_id", F.col("lang"), width=7).collect()}
+    for g in (lambda i: i % 4, lambda i: not i % 4):
+        assert [got[i] for i in range(200) if g(i)] == list(range(1, sum(map(bool, map(g, range(200)))) + 1))
