@@ -40,10 +40,12 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text: str, k1: float
     raw = raw.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("idf")).scalar()
     idf = raw.select("term", "n", "avgdl", F.when(F.col("idf") < 0, eps * mean).otherwise(F.col("idf")).alias("idf"))
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term"))
-    hit = asked.join(idf, "term").join(post, "term").join(lengths, "id")
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hit.groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
+    # Each posting is weighed once; the join with the query terms then only sums.
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    known = idf.join(asked.select("term").distinct(), "term", "left_semi")
+    weighed = post.join(known, "term").join(lengths, "id").select("id", "term", weight.alias("weight"))
+    return asked.join(weighed, "term").groupBy("query_id", "id").agg(F.sum(F.col("times") * F.col("weight")).alias("score")).where("score > 0")
 
 
 def top_per_query(scored: DataFrame, k: int) -> DataFrame:
