@@ -3,11 +3,13 @@
 Records become word lists of their user and assistant turns; equal lists are one
 class.  A rolling hash over word pairs cuts the lists into content-defined
 chunks at nested scales (each scale's cuts are among those of the one below), and
-the chunk digests are joined across the two splits.  Where a chunk is common to so
-many records that its join would explode, the longer chunks around it stand in for
-it, up to the whole record; nothing is capped.  A 512-bit sketch of each record's
-words then drops pairs that provably can't reach the threshold, and the exact
-longest common subsequence settles the rest.  The words of shared chunks are
+the chunk digests are joined across the two splits.  A chunk common to so many
+records that its join would explode (HOT_PAIRS) is lengthened by the chunks after it
+to a run of RUNS words; runs are joined however many records hold them, in blocks of
+BLOCK x BLOCK rows.  A pair that shares nothing but hot chunks, and no run of them,
+isn't found: see "Recall of problem 4" in the README.  A 512-bit sketch of each
+record's words then drops pairs that provably can't reach the threshold, and the
+exact longest common subsequence settles the rest.  The words of shared chunks are
 reported as an overlap fraction of the longer record.
 
 Defined cases: null texts and records without user or assistant words have no
@@ -23,7 +25,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.runtime import salted_join, salts_for, settle
@@ -32,8 +34,12 @@ from corpusmill.runtime import salted_join, salts_for, settle
 SIMILAR = 0.75
 #: Mean words per chunk at each scale.
 SCALES = (3, 12, 48)
-#: A chunk makes pairs while (records of one split) x (records of the other) stays within this.
+#: A chunk makes pairs by itself while (records of one split) x (records of the other) stays within this.
 HOT_PAIRS = 1024
+#: Hot chunks are lengthened to so many words; the second length is for records up to so many words.
+RUNS = ((12, 1 << 30), (4, 64))
+#: Rows of either split that meet in one block of a run's join.
+BLOCK = 1000
 #: Joinable chunk digests, and records to compare, up to this number are broadcast (8 bytes each); beyond, a shuffle join.
 BROADCAST_KEYS = 1_000_000
 #: Longs in a record's sketch of words.
@@ -114,8 +120,8 @@ def sketches(values: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _parse_batches(batches):
-    """(row_id, side, text) -> class, words, sketch and the digests of chunks at all scales."""
-    names = ["row_id", "side", "c", "n", "keys", *(f"s{i}" for i in range(SKETCH))]
+    """(row_id, side, text) -> class, words, sketch, the digests of chunks at all scales and the words of the finest ones, which come first."""
+    names = ["row_id", "side", "c", "n", "keys", "sizes", *(f"s{i}" for i in range(SKETCH))]
     for batch in batches:
         ids, sides, classes, flat, n = [], [], [], [], []
         for i, s, t in zip(*(batch.column(k).to_pylist() for k in ("row_id", "side", "text")), strict=True):
@@ -128,17 +134,21 @@ def _parse_batches(batches):
                 classes.append(hashlib.blake2b(flat[-1].tobytes(), digest_size=16).digest())
         head = [pa.array(ids, pa.int64()), pa.array(sides, pa.bool_()), pa.array(classes, pa.binary()), pa.array(n, pa.int32())]
         if not ids:
-            yield pa.RecordBatch.from_arrays([*head, pa.array([], pa.list_(pa.int64())), *[pa.array([], pa.int64())] * SKETCH], names)
+            yield pa.RecordBatch.from_arrays([*head, pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.int32())), *[pa.array([], pa.int64())] * SKETCH], names)
             continue
         values = np.concatenate(flat)
-        digest, _, record = chunks(values, np.cumsum(n))
+        digest, size, record = chunks(values, np.cumsum(n))
         at = np.searchsorted(record, np.arange(len(n) + 1))
+        done = np.concatenate([[0], np.cumsum(size)])
+        finest = done[1:] - done[at[:-1]][record] <= np.array(n)[record]
+        fine_at = np.concatenate([[0], np.cumsum(finest)])[at]
         sketch = sketches(values, np.array(n)).view(np.int64)
         keys = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(digest.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([*head, keys, *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH))], names)
+        sizes = pa.ListArray.from_arrays(pa.array(fine_at, pa.int32()), pa.array(size[finest].astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([*head, keys, sizes, *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH))], names)
 
 
-_PARSED = "row_id long, side boolean, c binary, n int, keys array<long>, " + ", ".join(f"s{i} long" for i in range(SKETCH))
+_PARSED = "row_id long, side boolean, c binary, n int, keys array<long>, sizes array<int>, " + ", ".join(f"s{i} long" for i in range(SKETCH))
 
 
 def lcs(a: list, b: list) -> int:
@@ -190,15 +200,104 @@ def _settle_pairs(batches):
         yield pa.RecordBatch.from_arrays([*got.columns, pa.array(shares, pa.float64()), pa.array(over, pa.float64())], ["ca", "cb", "share", "overlap"])
 
 
+def runs_of(keys: np.ndarray, sizes: np.ndarray, ends: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of hot chunks of RUNS words: digest and record.
+
+    ``keys`` and ``sizes`` are the finest chunks of all records one after another,
+    ``ends`` where each record ends, ``hot`` whether a chunk is.  A record shorter
+    than a run is one run.  A run with a chunk that isn't hot is left out: that chunk
+    makes the pair by itself, or no record of the other split has it.
+    """
+    n = len(keys)
+    record = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    first, until = (np.concatenate([[0], ends[:-1]]))[record], ends[record]
+    words = np.concatenate([[0], np.cumsum(sizes)])
+    cold = np.concatenate([[0], np.cumsum(~hot)])
+    out = []
+    with np.errstate(over="ignore"):
+        power = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, 0xC2B2AE3D27D4EB4F, np.uint64)]))
+        back = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64), np.uint64)]))
+        mixed = keys ^ (keys >> np.uint64(31))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * power[:n], dtype=np.uint64)])
+        for least, most in RUNS:
+            at = np.arange(n)
+            end = np.searchsorted(words, words[:-1] + least)  # the chunk after the run
+            short = end > until
+            end = np.minimum(end, until)
+            total = words[until] - words[first]
+            ok = (~short | (at == first)) & (total <= most) & (cold[end] == cold[at])
+            s, e = at[ok], end[ok]
+            digest = (sums[e] - sums[s]) * back[s]
+            digest = (digest ^ (digest >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(least)
+            out.append((digest, record[ok]))
+    return tuple(np.concatenate([x[i] for x in out]) for i in range(2))
+
+
+def _run_batches(shared):
+    """(row_id, side, keys, sizes) -> runs of hot chunks, each once a record."""
+
+    def run(batches):
+        known = shared.value if shared else None
+        for batch in batches:
+            ids, sides = batch.column("row_id").to_numpy(), batch.column("side").to_numpy(zero_copy_only=False)
+            sizes, keys = batch.column("sizes"), batch.column("keys")
+            if not len(ids):
+                continue
+            n = sizes.value_lengths().to_numpy()
+            ends = np.cumsum(n)
+            start = np.concatenate([[0], np.cumsum(keys.value_lengths().to_numpy())[:-1]])
+            flat = keys.flatten().to_numpy()[np.repeat(start, n) + np.arange(ends[-1]) - np.repeat(ends - n, n)]
+            if known is None:
+                hot = np.ones(len(flat), bool)
+            else:
+                at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
+                hot = known[at] == flat if len(known) else np.zeros(len(flat), bool)
+            digest, record = runs_of(flat.view(np.uint64), sizes.flatten().to_numpy().astype(np.int64), ends, hot)
+            both = np.unique(np.stack([record.astype(np.int64), digest.view(np.int64)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[both[:, 0]]), pa.array(sides[both[:, 0]]), pa.array(np.ascontiguousarray(both[:, 1]))], ["row_id", "side", "key"])
+
+    return run
+
+
+def may_reach() -> Column:
+    """Whether words and sketches of a pair (na, s0a ..., nb, s0b ...) leave SIMILAR possible."""
+    longer = F.greatest("na", "nb")
+    # A bit that only one record has stands for a word that the other lacks: more than a quarter of them rule a pair out.
+    lack_a = sum((F.bit_count(F.col(f"s{i}a").bitwiseAND(F.bitwise_not(F.col(f"s{i}b")))) for i in range(SKETCH)), F.lit(0))
+    lack_b = sum((F.bit_count(F.col(f"s{i}b").bitwiseAND(F.bitwise_not(F.col(f"s{i}a")))) for i in range(SKETCH)), F.lit(0))
+    return (F.least("na", "nb") >= SIMILAR * longer) & (F.greatest(lack_a, lack_b) <= (1 - SIMILAR) * longer)
+
+
+def run_pairs(classes: DataFrame, hot: DataFrame) -> DataFrame:
+    """(ra, rb) of records that share a run of hot chunks, whatever its number of records, and may reach SIMILAR."""
+    shared = None
+    if hot.count() <= BROADCAST_KEYS:
+        shared = classes.sparkSession.sparkContext.broadcast(np.sort(hot.toArrow().column("key").to_numpy()))
+    runs = settle(classes.select("row_id", "side", "keys", "sizes").mapInArrow(_run_batches(shared), "row_id long, side boolean, key long"), "overlap-runs")
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
+    met = runs.groupBy("key").agg(F.count_if("side").alias("na"), F.count_if(~F.col("side")).alias("nb")).where("na > 0 and nb > 0")
+    met = settle(met.select("key", blocks("na").alias("ka"), blocks("nb").alias("kb")), "overlap-met")
+    # The sketches come along, so that only pairs that may reach SIMILAR leave a block.
+    light = [F.col(k) for k in ("n", *(f"s{i}" for i in range(SKETCH)))]
+    placed = runs.join(F.broadcast(met) if met.count() <= BROADCAST_KEYS else met, "key").join(classes.select("row_id", "side", *light), ["row_id", "side"])
+    of = lambda x: [c.alias(f"{k}{x}") for k, c in zip(("n", *(f"s{i}" for i in range(SKETCH))), light, strict=True)]
+    mine = lambda k: F.pmod(F.xxhash64("row_id"), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    a = placed.where("side").select("key", F.col("row_id").alias("ra"), mine("ka").alias("ia"), every("kb").alias("ib"), *of("a"))
+    b = placed.where("not side").select("key", F.col("row_id").alias("rb"), mine("kb").alias("ib"), every("ka").alias("ia"), *of("b"))
+    return a.join(b, ["key", "ia", "ib"]).where(may_reach()).select("ra", "rb")
+
+
 def candidates(classes: DataFrame) -> DataFrame:
-    """(ra, rb) first rows of different classes that share a joinable chunk and may reach SIMILAR."""
+    """(ra, rb) first rows of different classes that share a chunk or a run of hot chunks and may reach SIMILAR."""
     runs = classes.select("row_id", "side", F.explode("keys").alias("key"))
     counts = runs.groupBy("key").agg(F.count_if("side").alias("na"), F.count_if(~F.col("side")).alias("nb")).where("na > 0 and nb > 0")
-    counts = settle(counts.where(F.col("na") * F.col("nb") <= HOT_PAIRS).select("key"), "overlap-keys")
+    counts = settle(counts.select("key", (F.col("na") * F.col("nb") > HOT_PAIRS).alias("hot")), "overlap-keys")
+    hot, counts = counts.where("hot").select("key"), counts.where("not hot").select("key")
     joinable = F.broadcast(counts) if counts.count() <= BROADCAST_KEYS else counts
     cold = runs.join(joinable, "key", "left_semi")
     a, b = cold.where("side").select("key", F.col("row_id").alias("ra")), cold.where("not side").select("key", F.col("row_id").alias("rb"))
-    pairs = a.join(b, "key").select("ra", "rb").distinct()
+    pairs = a.join(b, "key").select("ra", "rb").unionByName(run_pairs(classes, hot)).distinct()
     light = classes.select("row_id", "side", "c", "n", *(f"s{i}" for i in range(SKETCH)))
 
     def of(side: str, x: str) -> DataFrame:
@@ -206,12 +305,7 @@ def candidates(classes: DataFrame) -> DataFrame:
         return light.where(side).select(F.col("row_id").alias(f"r{x}"), *cols)
 
     both = pairs.join(of("side", "a"), "ra").join(of("not side", "b"), "rb")
-    longer = F.greatest("na", "nb")
-    # A bit that only one record has stands for a word that the other lacks: more than a quarter of them rule a pair out.
-    lack_a = sum((F.bit_count(F.col(f"s{i}a").bitwiseAND(F.bitwise_not(F.col(f"s{i}b")))) for i in range(SKETCH)), F.lit(0))
-    lack_b = sum((F.bit_count(F.col(f"s{i}b").bitwiseAND(F.bitwise_not(F.col(f"s{i}a")))) for i in range(SKETCH)), F.lit(0))
-    fits = (F.least("na", "nb") >= SIMILAR * longer) & (F.greatest(lack_a, lack_b) <= (1 - SIMILAR) * longer)
-    return both.where(fits & (F.col("ca") != F.col("cb"))).select("ra", "rb", "ca", "cb")
+    return both.where(may_reach() & (F.col("ca") != F.col("cb"))).select("ra", "rb", "ca", "cb")
 
 
 def overlaps(held_out: DataFrame, train: DataFrame, id_col: str = "row_id", text: str = "text") -> DataFrame:

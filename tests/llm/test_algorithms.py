@@ -80,6 +80,21 @@ def test_overlaps_against_brute_force(spark):
     assert split_overlap.overlaps(a.limit(0), b).count() == 0
 
 
+def test_family_of_near_copies_is_whole(spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(400)}" for _ in range(120)]
+    short = [f"v{i}" for i in range(20)]
+
+    def edited(words, i):
+        k = rng.randrange(len(words))
+        return " ".join([*words[:k], f"edit{i}", *words[k + 1 :]])
+
+    of = lambda start, n: spark.createDataFrame([(start + i, chatml(edited(base, start + i))) for i in range(n)] + [(start + 500 + i, chatml(edited(short, start + i))) for i in range(n)], "row_id long, text string")
+    got = {(r["held_id"], r["train_id"]) for r in split_overlap.overlaps(of(0, 40), of(1000, 45)).collect()}
+    assert {(i, 1000 + j) for i in range(40) for j in range(45)} <= got  # every chunk free of edits is hot
+    assert len(got) >= 0.99 * 2 * 40 * 45
+
+
 # --- problem 7 ---
 @pytest.mark.parametrize("seed", range(20))
 def test_controlled_rounding_keeps_margins(seed):
