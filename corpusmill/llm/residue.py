@@ -5,7 +5,10 @@ once.  Trusted labels come from patterns of placeholders, filler, error pages an
 script notices.  A 64-bit SimHash of every sentence is kept in four partitioned
 tables of 16 bits each; sentences that share a partition with a labelled one, are
 within HAMMING bits of it and at least SIMILAR in text take its label, and so on
-through the connected component until nothing changes.
+through the connected component until nothing changes.  Sentences are too short for
+SimHash to bring all such pairs together, so they also meet by their prefixes: of two
+sentences that reach SIMILAR, the first words in a fixed order have one in common.
+Words with a digit count as one.
 
 Placeholders are evidence by themselves, not by their surroundings, so only
 filler, error and script labels propagate.
@@ -18,7 +21,9 @@ very long texts are read whole; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -166,14 +171,36 @@ def simhashes(token_lists: list[list[str]]) -> np.ndarray:
     return out
 
 
+def folded(text: str) -> list[str]:
+    """Words of a sentence; those with a digit are all one."""
+    return ["0" if any(c.isdigit() for c in w) else w for w in words(text)]
+
+
+def prefix(tokens: list[str]) -> list[int]:
+    """Word hashes (repeats of a word apart) of which sentences of similarity SIMILAR share one.
+
+    With M words in common, 2 M / (a + b) >= SIMILAR and M <= b give
+    M >= a SIMILAR / (2 - SIMILAR): so many words but that are left out at most, and
+    the rest in one fixed order, long words (rare ones) first, must meet.
+    """
+    seen: dict[str, int] = {}
+    keys = []
+    for w in tokens:
+        k = seen[w] = seen.get(w, 0) + 1
+        keys.append((-len(w), (_word_hash(w) + k * 0x9E3779B97F4A7C15) % (1 << 64)))
+    need = max(1, math.ceil(len(keys) * SIMILAR / (2 - SIMILAR) - 1e-9))
+    return [k - (1 << 63) for _, k in sorted(keys)[: len(keys) - need + 1]]
+
+
 def _label_batches(batches):
     for batch in batches:
         texts = batch.column("seg").to_pylist()
         tokens = [words(t) for t in texts]
         sims = simhashes(tokens).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("h"), batch.column("seg"), batch.column("n"), pa.array(sims), pa.array([label(t, w) for t, w in zip(texts, tokens, strict=True)], pa.string())],
-            ["h", "seg", "n", "sim", "label"],
+            [batch.column("h"), batch.column("seg"), batch.column("n"), pa.array(sims), pa.array([label(t, w) for t, w in zip(texts, tokens, strict=True)], pa.string()),
+             pa.array([len(w) for w in tokens], pa.int32()), pa.array([prefix(folded(t)) for t in texts], pa.list_(pa.int64()))],
+            ["h", "seg", "n", "sim", "label", "n_words", "prefix"],
         )
 
 
@@ -182,8 +209,8 @@ def _verify_batches(batches):
     for batch in batches:
         keep, labels = [], []
         for i, (a, b, x) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("seg", "seed", "label")), strict=True)):
-            wa, wb = words(a), words(b)
-            if wa and wb and SequenceMatcher(None, wa, wb, autojunk=False).ratio() >= SIMILAR and not (min(len(wa), len(wb)) < 3 and wa != wb):
+            wa, wb = folded(a), folded(b)
+            if wa and wb and 2 * (Counter(wa) & Counter(wb)).total() >= SIMILAR * (len(wa) + len(wb)) and SequenceMatcher(None, wa, wb, autojunk=False).ratio() >= SIMILAR and not (min(len(wa), len(wb)) < 3 and wa != wb):
                 keep.append(i)
                 labels.append(x)
         got = batch.take(pa.array(keep, pa.int64()))
@@ -191,6 +218,7 @@ def _verify_batches(batches):
 
 
 _SEGMENT = "h long, seg string, n long, sim long, label string"
+_TABLE = f"{_SEGMENT}, n_words int, prefix array<long>"
 
 
 def segments(messages: DataFrame, text: str = "text") -> DataFrame:
@@ -211,21 +239,28 @@ def _blocks(df: DataFrame, *keep: str) -> DataFrame:
 def residue_segments(messages: DataFrame, text: str = "text") -> DataFrame:
     """(h, label, n occurrences) of every residue sentence, labels propagated to near-duplicates."""
     distinct = segments(messages.select(text), text).groupBy("h").agg(F.first("seg").alias("seg"), F.count(F.lit(1)).alias("n"))
-    table = settle(distinct.mapInArrow(_label_batches, _SEGMENT), "residue-segments")
+    table = settle(distinct.mapInArrow(_label_batches, _TABLE), "residue-segments")
     found = table.where("label is not null").select("h", "label", "n")
     frontier = table.where(F.col("label").isin(*PROPAGATE))
+    nodes = table.select("h", "n_words", "prefix")
     open_ = table.where("label is null")
     while True:
-        # Sentences of one SimHash are one node of the graph: one seed each.
-        seeds = frontier.where("sim <> 0").groupBy("sim").agg(F.min(F.struct("seg", "label")).alias("s")).select(F.col("sim").alias("seed_sim"), "s.seg", "s.label")
-        seeds = settle(seeds.withColumnRenamed("seg", "seed"), "residue-seeds")
+        # Sentences of one SimHash, length and prefix are one node of the graph: one seed each.
+        seeds = frontier.where("sim <> 0") if "prefix" in frontier.columns else frontier.where("sim <> 0").join(nodes, "h")
+        seeds = seeds.groupBy("sim", "n_words", "prefix").agg(F.min(F.struct("seg", "label")).alias("s"))
+        seeds = settle(seeds.select(F.col("sim").alias("seed_sim"), F.col("n_words").alias("seed_words"), "prefix", F.col("s.seg").alias("seed"), "s.label"), "residue-seeds")
         n = seeds.count()
         if not n:
             return found
         marked = _blocks(seeds.withColumn("sim", F.col("seed_sim")), "seed_sim", "seed", "label")
         hint = F.broadcast(marked) if n <= BROADCAST_ROWS // 4 else marked
         near = _blocks(open_, "h", "seg", "n", "sim").join(hint, ["tab", "bits"]).where(F.bit_count(F.col("sim").bitwiseXOR(F.col("seed_sim"))) <= HAMMING)
-        near = near.dropDuplicates(["h", "seed_sim"]).select("h", "seg", "n", "sim", "seed", "label")
+        met = seeds.select("seed", "label", "seed_words", F.explode("prefix").alias("key"))
+        met = F.broadcast(met) if n <= BROADCAST_ROWS // 16 else met
+        by_word = open_.select("h", "seg", "n", "sim", "n_words", F.explode("prefix").alias("key")).join(met, "key")
+        by_word = by_word.where(F.least("n_words", "seed_words") * (2 - SIMILAR) >= SIMILAR * F.greatest("n_words", "seed_words") - 1e-6)
+        near = near.select("h", "seg", "n", "sim", "seed", "label").unionByName(by_word.select("h", "seg", "n", "sim", "seed", "label"))
+        near = near.dropDuplicates(["h", "seed"])
         fresh = near.mapInArrow(_verify_batches, _SEGMENT).groupBy("h").agg(F.min(F.struct("label", "seg", "n", "sim")).alias("s")).select("h", "s.seg", "s.n", "s.sim", "s.label")
         fresh = settle(fresh, "residue-fresh")
         found = found.unionByName(fresh.select("h", "label", "n"))

@@ -52,6 +52,31 @@ def test_label_spreads_through_components(spark):
     assert 1 in got and 3 not in got
 
 
+def test_label_spreads_to_near_sentences(spark):
+    base = "our gateway had a problem while it was reading the reply of the upstream: 502 bad gateway"
+    near = [base.replace("bad gateway", "bad gatewey"), base.replace("bad gateway", "bad gatewey").replace("problem", "fault")]  # the second by way of the first too
+    t = spark.createDataFrame([(1, base), (2, near[0]), (3, near[1]), (4, "thank you for the long and quiet evening")], "k long, text string")
+    assert {r["k"] for r in residue.residue_messages(t).collect()} == {1, 2, 3}
+
+
+def test_prefixes_meet_whenever_sentences_are_near():
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    tried = 0
+    for _ in range(4000):
+        a = [rng.choice("ab cd efg hij klmn o p q1".split()) for _ in range(rng.randrange(3, 21))]
+        b = list(a)
+        for _ in range(rng.randrange(1, 6)):
+            k = rng.randrange(len(b))
+            b[k : k + 1] = rng.choice([["new"], [], [b[k], "more"]]) or ["x"]
+        if SequenceMatcher(None, a, b, autojunk=False).ratio() >= residue.SIMILAR:
+            tried += 1
+            assert set(residue.prefix(a)) & set(residue.prefix(b))
+    assert tried > 1000
+
+
 # --- problem 8 ---
 PASSAGE = "the calendar got stuck on 19 while a boat without oars waits in the kitchen today"
 
