@@ -203,3 +203,11 @@ def test_aligned_ends():
 def test_min_hash_bands_find_near_copies():
     a = [f"w{i}" for i in range(200)]
     assert set(truncation.bands(a)) & set(truncation.bands(a[:-8])) and truncation.bands(["a"]) == []
+
+
+def test_cut_copy_meets_its_original_among_longer_siblings(spark):
+    shared = " ".join(f"w{i}" for i in range(100))
+    original = f"{shared} gamma lambda"
+    docs = [(0, original.rsplit(" ", 1)[0]), (1, original + ".")] + [(10 + i, f"{shared} z{i} " + " ".join(f"y{i}x{k}" for k in range(5)) + ".") for i in range(20)]
+    t = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"] for r in truncation.truncated(t).where("aligned").collect()} == {0}
