@@ -74,10 +74,33 @@ def test_overlaps_against_brute_force(spark):
     b = spark.createDataFrame([(i, text(w), "x") for i, w in train] + [(3000, None, "x")], schema)
     got = {(r["held_id"], r["train_id"]) for r in split_overlap.overlaps(a, b).collect()}
     want = {(i, j) for i, x in held for j, y in train if split_overlap.lcs(x, y) >= 0.75 * max(len(x), len(y))}
-    # Chunks can't prove completeness right at the threshold; well above it nothing may be lost.
+    # Chunks can't prove completeness right at the threshold; well above it nothing may be lost, and single words lose nothing.
     sure = {(i, j) for i, x in held for j, y in train if split_overlap.lcs(x, y) >= 0.85 * max(len(x), len(y))}
     assert sure <= got <= want and len(got) >= 0.9 * len(want) and (500, 2003) in got
-    assert split_overlap.overlaps(a.limit(0), b).count() == 0
+    assert {(r["held_id"], r["train_id"]) for r in split_overlap.overlaps(a, b, short=1 << 30).collect()} == want
+    assert split_overlap.overlaps(a.limit(0), b).count() == 0 == split_overlap.overlaps(a, b.limit(0)).count()
+
+
+def test_no_pair_over_the_chunk_share_is_lost(spark, monkeypatch):
+    """Every pair of OVERLAP or more in whole chunks is found, with joins cut into blocks as well."""
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(60)]  # few words: all chunks are frequent
+    base = [[rng.choice(vocab) for _ in range(rng.randrange(5, 90))] for _ in range(25)]
+
+    def edited(words):
+        out = list(words)
+        for _ in range(rng.randrange(0, len(out) // 4 + 1)):
+            out[rng.randrange(len(out))] = rng.choice(vocab)
+        return out
+
+    held, train = ([(start + i, edited(rng.choice(base))) for i in range(150)] for start in (0, 1000))
+    of = lambda rows: spark.createDataFrame([(i, chatml(" ".join(w))) for i, w in rows], "row_id long, text string")
+    like = {(i, j): split_overlap.chunk_overlap(x, y) for i, x in held for j, y in train if split_overlap.lcs(x, y) >= 0.75 * max(len(x), len(y))}
+    sure = {(i, j) for (i, j), share in like.items() if share >= split_overlap.OVERLAP or max(len(held[i][1]), len(train[j - 1000][1])) <= split_overlap.SHORT}
+    for pairs in (1 << 27, 64):  # 64: chunks of this size are hot
+        monkeypatch.setattr(split_overlap, "BLOCK_PAIRS", pairs)
+        got = {(r["held_id"], r["train_id"]) for r in split_overlap.overlaps(of(held), of(train)).collect()}
+        assert sure <= got <= set(like) and len(got) >= 0.9 * len(like)
 
 
 def test_family_of_near_copies_is_whole(spark):
@@ -90,9 +113,9 @@ def test_family_of_near_copies_is_whole(spark):
         return " ".join([*words[:k], f"edit{i}", *words[k + 1 :]])
 
     of = lambda start, n: spark.createDataFrame([(start + i, chatml(edited(base, start + i))) for i in range(n)] + [(start + 500 + i, chatml(edited(short, start + i))) for i in range(n)], "row_id long, text string")
-    got = {(r["held_id"], r["train_id"]) for r in split_overlap.overlaps(of(0, 40), of(1000, 45)).collect()}
-    assert {(i, 1000 + j) for i in range(40) for j in range(45)} <= got  # every chunk free of edits is hot
-    assert len(got) >= 0.99 * 2 * 40 * 45
+    n = 100  # every chunk free of edits is in 100 x 100 pairs
+    got = [(r["held_id"], r["train_id"]) for r in split_overlap.overlaps(of(0, n), of(1000, n)).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i + k, 1000 + j + k) for i in range(n) for j in range(n) for k in (0, 500)}
 
 
 # --- problem 7 ---
