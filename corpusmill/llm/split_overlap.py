@@ -55,6 +55,8 @@ TASK_ENTRIES = 1_500_000
 BROADCAST_KEYS = 1_000_000
 #: 64-bit words of a record's sketch.
 SKETCH = 8
+#: Pairs compared at a time, so that their sketches stay in the processor's cache.
+TILE = 4096
 
 _WORD = re.compile(r"[^\W_]+")
 _ROLE = re.compile(r"\s*(\w+)[ \t]*(?:\r\n|\r|\n|[ \t])?")
@@ -355,44 +357,51 @@ def _meet_batches(batches):
             s = slice(k, k + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(a.ids[i[s]]), pa.array(b.ids[j[s]]), pa.array(single[s] == 1), pa.array(h[s, 3]), pa.array(lack[s])], ["ra", "rb", "single", "words", "lack"])
 
-    few = np.flatnonzero((high > low) & (high - low <= 64))
+    # Keys with few pairs go together; the others in tiles of rows of one key.
+    first = np.flatnonzero(np.concatenate([[True], a.key[1:] != a.key[:-1]]))
+    held = np.diff(np.append(first, len(a.key)))
+    many = np.repeat(held, held) * (high - low) > 2048
+    few = np.flatnonzero((high > low) & ~many)
     lengths = (high - low)[few]
     upto = np.cumsum(lengths)
-    for k in range(0, int(upto[-1]) if len(few) else 0, 100_000):
-        s, e = np.searchsorted(upto, k, "right"), np.searchsorted(upto, k + 100_000, "right")
+    for k in range(0, int(upto[-1]) if len(few) else 0, 50_000):
+        s, e = np.searchsorted(upto, k, "right"), np.searchsorted(upto, k + 50_000, "right")
         if s == e:
             continue
         x = np.repeat(few[s:e], lengths[s:e])
         y = low[x] + np.arange(len(x)) - np.repeat(np.cumsum(lengths[s:e]) - lengths[s:e], lengths[s:e])
         i, j = a.row[x], b.row[y]
+        like = np.flatnonzero(np.minimum(a.n[i], b.n[j]) >= SIMILAR * np.maximum(a.n[i], b.n[j]))
+        x, i, j = x[like], i[like], j[like]
         common = np.bitwise_count(a.sketch[:, i] & b.sketch[:, j]).sum(axis=0, dtype=np.uint16)
         ok = may_reach(i, j, common)
         waiting += keep(i[ok], j[ok], a.size[x[ok]])
         if waiting > 2_000_000:
             yield from flush()
             waiting = 0
-    sketch = lengths_b = None
-    at = (-1, -1)
-    for x in np.flatnonzero(high - low > 64):
-        if at != (low[x], high[x]):  # another key
-            at = (low[x], high[x])
-            rows = b.row[low[x] : high[x]]
-            sketch, lengths_b = b.sketch[:, rows], b.n[rows]
-        i = a.row[x]
-        s, e = np.searchsorted(lengths_b, SIMILAR * a.n[i], "left"), np.searchsorted(lengths_b, a.n[i] / SIMILAR, "right")
-        if s == e:
-            continue
-        common = np.bitwise_count(sketch[:, s:e] & a.sketch[:, i][:, None]).sum(axis=0, dtype=np.uint16)
-        near = np.flatnonzero(common >= a.bits[i] - (1 - SIMILAR) * a.n[i])
-        if not len(near):
+    least = np.maximum(0, np.ceil(a.bits - (1 - SIMILAR) * a.n)).astype(np.uint16)
+    for f, k in zip(first.tolist(), held.tolist(), strict=True):
+        if not many[f]:
             continue
-        j = rows[s + near]
-        ok = may_reach(np.full(len(j), i), j, common[near])
-        j = j[ok]
-        waiting += keep(np.full(len(j), i), j, np.full(len(j), a.size[x]))
-        if waiting > 2_000_000:
-            yield from flush()
-            waiting = 0
+        rows_a, rows_b = a.row[f : f + k], b.row[low[f] : high[f]]  # both by length
+        planes_a, planes_b, lengths_b = a.sketch[:, rows_a, None], b.sketch[:, None, rows_b], b.n[rows_b]
+        starts, stops = np.searchsorted(lengths_b, SIMILAR * a.n[rows_a], "left"), np.searchsorted(lengths_b, a.n[rows_a] / SIMILAR, "right")
+        x = 0
+        while x < k:
+            s = starts[x]
+            y = min(k, x + max(1, TILE // max(1, stops[x] - s)))
+            e = stops[y - 1]
+            if e > s:
+                common = np.bitwise_count(planes_a[:, x:y] & planes_b[:, :, s:e]).sum(axis=0, dtype=np.uint16)
+                near_a, near_b = np.nonzero(common >= least[rows_a[x:y], None])
+                if len(near_a):
+                    i, j = rows_a[x + near_a], rows_b[s + near_b]
+                    ok = may_reach(i, j, common[near_a, near_b])
+                    waiting += keep(i[ok], j[ok], np.full(int(ok.sum()), a.size[f]))
+                    if waiting > 2_000_000:
+                        yield from flush()
+                        waiting = 0
+            x = y
     if waiting:
         yield from flush()
 
