@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.runtime import salted_join, salts_for, settle
+from corpusmill.runtime import block_join, salted_join, salts_for, settle
 
 #: Two sentences are near-duplicates within this many differing SimHash bits ...
 HAMMING = 3
 #: ... and this share of words in the same order.
 SIMILAR = 0.8
-#: Labelled hashes or SimHashes up to this number are broadcast (8 bytes each); beyond, a shuffle join.
-BROADCAST_ROWS = 500_000
+#: Rows of labelled sentences and their keys up to this number are broadcast (about 100 bytes each); beyond, a shuffle join.
+BROADCAST_ROWS = 200_000
 
 # What the words of placeholders, service pages and filler look like in the three languages.
 SLOT_WORDS = (
@@ -48,23 +48,31 @@ SLOT_WORDS = (
     "аты есім есімді есімі сезім жағдай жазыңыз тақырып"
 ).split()
 HTTP_ERRORS = "bad gateway|forbidden|gateway time out|gateway timeout|not found|service unavailable|too many requests|internal server error|unauthorized|bad request|request timeout"
-ERROR_PHRASES = (
-    "traceback most recent call last", "read timed out", "connection reset by", "connection refused", "upstream timed out", "cuda out of memory", "out of memory while",
-    "deployment is not ready", "the page was moved or removed", "page was not found", "page not found", "scheduled maintenance in progress", "back soon",
-    "service is temporarily unavailable", "session has expired", "server did not answer in time", "hit the request limit", "access denied", "reference number 0",
-    "checking your browser before", "страница не найдена", "ведутся технические работы", "скоро вернемся", "сервис временно недоступен", "сессия истекла",
-    "сервер не ответил вовремя", "слишком много запросов", "доступ запрещен", "номер обращения 0", "проверяем браузер перед", "бет табылмады", "техникалық жұмыстар",
-    "қызмет уақытша қолжетімсіз", "сессия аяқталды", "сервер уақытында жауап бермеді", "кіруге тыйым салынған", "өтініш нөмірі", "сұраныс тым көп", "браузерді тексеріп",
+# What a service speaks of, and what befell it at most two words on; talk about errors puts more between.
+_THING = (
+    r"(?:server|service|page|site|session|requests?|connection|gateway|deployment|access|upstream|resource|сервер|сервис|страница|сайт|сессия|доступ|запрос|соединение|ресурс"
+    r"|қызмет|бет|сессия|сұраныс|байланыс|кіруге)"
 )
-FILLER_PHRASES = (
-    "lorem ipsum", "dolor sit amet", "sample line replace before release", "your text here", "type a message", "образец реплики заменить", "ваш текст здесь", "введите сообщение",
-    "здесь будет ответ", "write the reply 0", "дописать ответ 0", "жауапты жазу 0", "мәтініңіз осында", "хабарлама жазыңыз", "жауабы осында болады", "reply goes here",
-    "start of reply", "end of reply", "шығарар алдында ауыстыр",
+_FATE = (
+    r"(?:unavailable|not available|expired|denied|refused|reset|removed|moved or|deleted|timed out|not found|not ready|overloaded|did not (?:answer|respond)|is not responding|limit"
+    r"|недоступ\w+|истек\w*|запрещен\w*|сброшен\w*|удален\w*|не найден\w*|не ответил\w*|не отвечает|перегружен\w*|табылмады|қолжетімсіз|аяқталды|тыйым салын\w+|жауап берме\w+|тым көп|үзілді)"
 )
+SERVICE = re.compile(
+    rf"\b{_THING} (?:\w+ ){{0,2}}{_FATE}\b|\b(?:too many|слишком много|тым көп) (?:requests|запросов|сұраныс)\b|\btraceback most recent call last\b|\bread timed out\b|\bout of memory (?:while|error)\b"
+    r"|\bmaintenance (?:in progress|mode)\b|\bтехнические работы\b|\bтехникалық жұмыс\w*|^(?:back soon|скоро вернемся)$|\b(?:checking your browser|проверяем (?:ваш )?браузер|браузерді тексер\w*)"
+    r"|\b(?:reference number|error code|номер обращения|код ошибки|өтініш нөмірі) 0+\b"
+)
+FILLER = re.compile(
+    r"\blorem ipsum\b|\bdolor sit amet\b|\b(?:your text|ваш текст|мәтініңіз) (?:here|здесь|осында)\b|\b(?:reply|answer|response) goes here\b|\bздесь будет (?:ваш )?(?:ответ|текст)\b|\bжауабы осында болады\b"
+    r"|\b(?:type a|введите|enter your) (?:message|сообщение)\b|\bхабарлама жазыңыз\b|\b(?:replace|заменить|ауыстыр\w*) (?:before|перед) (?:release|выпуском|публикацией)\b|\bалдында ауыстыр\w*"
+    r"|\b(?:write the reply|дописать ответ|жауапты жазу) 0\b|\b(?:start|end) of (?:reply|answer|text)\b"
+)
+#: Endings of words in mock Latin, and the share of a sentence's words (five or more) that end so.
+MOCK_LATIN, MOCK_SHARE = re.compile(r"[a-z]{2,}(?:us|is|um|a|em|unt|ur)$"), 0.8
 FILLER_WHOLE = ("stub", "заглушка", "толтырылмаған", "todo", "fixme", "tbd", "placeholder", "q a", "instruction", "response", "q", "a")
 
 _SCRIPT = r"(?:javascript|java script|js|scripts?|cookies?|скрипт\w*|сценари\w*|скрипттер\w*|куки)"
-_DEMAND = r"(?:enable|allow|activate|turn(?:ed)? on|turned off|switch(?:ed)? off|switch(?:ed)? on|disabled|requires?|required|without|reload|включите|разрешите|отключен\w*|запускается без|требует\w*|необходим\w*|қосыңыз|өшірулі|болмаса|рұқсат беріңіз)"
+_DEMAND = r"(?:enable|allow|activate|turn(?:ed)? on|turned off|switch(?:ed)? off|switch(?:ed)? on|disabled|requires?|required|without|reload|включит[еь]|разрешит[еь]|отключен\w*|запускается без|требует\w*|необходим\w*|қосыңыз|өшірулі|болмаса|рұқсат беріңіз)"
 SCRIPTS = re.compile(rf"\b{_SCRIPT}\b.*\b{_DEMAND}\b|\b{_DEMAND}\b.*\b{_SCRIPT}\b|^разрешите их чтобы продолжить|^оларды қосыңыз")
 HTTP = re.compile(rf"\b[0-9]{{3}} (?:{HTTP_ERRORS})\b")
 CODE_ONLY = re.compile(r"(?:error|ошибка|қате) [0-9]+$")
@@ -108,27 +116,43 @@ def label(text: str | None, tokens: list[str] | None = None) -> str | None:
     n = " ".join(tokens)
     if n in FILLER_WHOLE and (len(n) > 1 or ":" in text):
         return "filler"
+    if len(tokens) >= 5 and text.isascii() and tokens[0].endswith(("us", "is", "um", "a", "em")) and sum(MOCK_LATIN.match(t) is not None for t in tokens) >= MOCK_SHARE * len(tokens):
+        return "filler"
     if any(t.endswith(("error", "exception")) and len(t) > 7 for t in tokens[:2]) or CODE_ONLY.match(n):
         return "error_page"
-    for _, (kind, phrase) in hints().iter(f" {n} "):
-        if kind in ("filler", "error_page"):
+    for _, kind in hints().iter(f" {n} "):
+        if kind == "filler" and FILLER.search(n):
             return kind
-        if kind == "http" and HTTP.search(n) or kind == "file" and re.search(r"^file \S+ py line [0-9]+ in\b", n):
+        if kind == "error_page" and (SERVICE.search(n) or HTTP.search(n)) or kind == "file" and re.search(r"^file \S+ py line [0-9]+ in\b", n):
             return "error_page"
-        if kind == "script" and SCRIPTS.search(n):
-            return "script_notice"
+        if kind == "script_notice" and SCRIPTS.search(n):
+            return kind
     return None
 
 
+# Strings one of which must occur before the slower patterns of a kind are tried.
+HINTS = {
+    "error_page": [
+        *HTTP_ERRORS.split("|"), "server ", "service ", "page ", " site ", "session ", " request", "connection ", "gateway ", "deployment ", "access ", "upstream ", "resource ", "сервер ", "сервис ", "страница ", "сайт ", "сессия ", "доступ ",
+        "запрос", "соединение ", "ресурс ", "қызмет ", " бет ", "сұраныс", "байланыс ", "кіруге ", "traceback", "timed out", "out of memory", "maintenance", "технические", "техникалық", "back soon", "скоро вернемся", "браузер", "browser",
+        "reference number", "error code", "номер обращения", "код ошибки", "өтініш нөмірі",
+    ],
+    "filler": [
+        "lorem", "dolor", " text ", " текст ", "мәтініңіз", "goes here", "здесь будет", "осында", "message", "сообщение", "хабарлама", "replace", "заменить", "ауыстыр", "write the reply", "дописать", "жауапты", "start of", "end of",
+    ],
+    "script_notice": SCRIPT_HINTS, "file": [" py line "],
+}
+
+
 @lru_cache(maxsize=1)
 def hints():
-    """One automaton over all phrases, each with the kind it speaks for."""
+    """One automaton over all hints, each with the kind it speaks for."""
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for kind, phrases in (("error_page", ERROR_PHRASES), ("filler", FILLER_PHRASES), ("http", HTTP_ERRORS.split("|")), ("script", SCRIPT_HINTS), ("file", (" py line ",)), ("error_page", ("error code 0", "error code 000"))):
-        for p in phrases:
-            a.add_word(p, (kind, p))
+    for kind, strings in HINTS.items():
+        for x in strings:
+            a.add_word(x, kind)
     a.make_automaton()
     return a
 
@@ -196,38 +220,35 @@ def _label_batches(batches):
     for batch in batches:
         texts = batch.column("seg").to_pylist()
         tokens = [words(t) for t in texts]
-        sims = simhashes(tokens).view(np.int64)
+        plain = [["0" if any(c.isdigit() for c in w) else w for w in t] for t in tokens]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("h"), batch.column("seg"), batch.column("n"), pa.array(sims), pa.array([label(t, w) for t, w in zip(texts, tokens, strict=True)], pa.string()),
-             pa.array([len(w) for w in tokens], pa.int32()), pa.array([prefix(folded(t)) for t in texts], pa.list_(pa.int64()))],
-            ["h", "seg", "n", "sim", "label", "n_words", "prefix"],
-        )
+            [batch.column("h"), batch.column("seg"), batch.column("n"), pa.array(simhashes(tokens).view(np.int64)), pa.array([label(t, w) for t, w in zip(texts, tokens, strict=True)], pa.string()),
+             pa.array([len(w) for w in tokens], pa.int32()), pa.array([prefix(t) for t in plain], pa.list_(pa.int64())), pa.array([hashlib.blake2b(" ".join(t).encode(), digest_size=16).digest() for t in plain], pa.binary())],
+            ["h", "seg", "n", "sim", "label", "n_words", "prefix", "fold"],
+        )
 
 
 def _verify_batches(batches):
     """Keeps candidates whose words agree with the labelled sentence's."""
     for batch in batches:
-        keep, labels = [], []
-        for i, (a, b, x) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("seg", "seed", "label")), strict=True)):
+        keep = []
+        for i, (a, b) in enumerate(zip(batch.column("seg").to_pylist(), batch.column("seed").to_pylist(), strict=True)):
             wa, wb = folded(a), folded(b)
             if wa and wb and 2 * (Counter(wa) & Counter(wb)).total() >= SIMILAR * (len(wa) + len(wb)) and SequenceMatcher(None, wa, wb, autojunk=False).ratio() >= SIMILAR and not (min(len(wa), len(wb)) < 3 and wa != wb):
                 keep.append(i)
-                labels.append(x)
-        got = batch.take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*(got.column(c) for c in ("h", "seg", "n", "sim")), pa.array(labels, pa.string())], ["h", "seg", "n", "sim", "label"])
+        yield batch.select(["h", "label"]).take(pa.array(keep, pa.int64()))
 
 
-_SEGMENT = "h long, seg string, n long, sim long, label string"
-_TABLE = f"{_SEGMENT}, n_words int, prefix array<long>"
+_TABLE = "h string, seg string, n long, sim long, label string, n_words int, prefix array<long>, fold binary"
 
 
 def segments(messages: DataFrame, text: str = "text") -> DataFrame:
-    """``messages`` with one row per sentence: its text with digits folded, and its hash."""
+    """``messages`` with one row per sentence: its text with digits folded, and 128 bits over it."""
     cut = F.split(F.col(text), r"(?<=[.!?…])\s+|\n+")
     seg = F.translate(F.trim(F.col("_seg")), "123456789", "000000000")
     rest = [c for c in messages.columns if c != text]
     out = messages.where(F.col(text).isNotNull()).select(*rest, F.explode(cut).alias("_seg")).select(*rest, seg.alias("seg")).where("seg <> ''")
-    return out.withColumn("h", F.xxhash64("seg"))
+    return out.withColumn("h", F.concat(F.lpad(F.hex(F.xxhash64("seg")), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit("s"), "seg")), 16, "0")))
 
 
 def _blocks(df: DataFrame, *keep: str) -> DataFrame:
@@ -236,36 +257,40 @@ def _blocks(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode(parts).alias("p")).select(*keep, "p.tab", "p.bits")
 
 
-def residue_segments(messages: DataFrame, text: str = "text") -> DataFrame:
+def residue_segments(messages: DataFrame, text: str = "text", propagate: bool = True) -> DataFrame:
     """(h, label, n occurrences) of every residue sentence, labels propagated to near-duplicates."""
-    distinct = segments(messages.select(text), text).groupBy("h").agg(F.first("seg").alias("seg"), F.count(F.lit(1)).alias("n"))
+    distinct = segments(messages.select(text), text).groupBy("seg").agg(F.first("h").alias("h"), F.count(F.lit(1)).alias("n"))
     table = settle(distinct.mapInArrow(_label_batches, _TABLE), "residue-segments")
     found = table.where("label is not null").select("h", "label", "n")
-    frontier = table.where(F.col("label").isin(*PROPAGATE))
-    nodes = table.select("h", "n_words", "prefix")
-    open_ = table.where("label is null")
-    while True:
-        # Sentences of one SimHash, length and prefix are one node of the graph: one seed each.
-        seeds = frontier.where("sim <> 0") if "prefix" in frontier.columns else frontier.where("sim <> 0").join(nodes, "h")
-        seeds = seeds.groupBy("sim", "n_words", "prefix").agg(F.min(F.struct("seg", "label")).alias("s"))
-        seeds = settle(seeds.select(F.col("sim").alias("seed_sim"), F.col("n_words").alias("seed_words"), "prefix", F.col("s.seg").alias("seed"), "s.label"), "residue-seeds")
+    frontier = table.where(F.col("label").isin(*PROPAGATE) & (F.col("n_words") > 0))
+    open_ = table.where("label is null and n_words > 0")
+    while propagate:
+        # Sentences of the same folded words are one node of the graph: one seed each.
+        seeds = frontier.groupBy("fold").agg(F.min(F.struct("seg", "label")).alias("s"), F.first("sim").alias("seed_sim"), F.first("n_words").alias("seed_words"), F.first("prefix").alias("prefix"))
+        seeds = settle(seeds.select(F.col("fold").alias("seed_fold"), "seed_sim", "seed_words", "prefix", F.col("s.seg").alias("seed"), "s.label"), "residue-seeds")
         n = seeds.count()
         if not n:
-            return found
-        marked = _blocks(seeds.withColumn("sim", F.col("seed_sim")), "seed_sim", "seed", "label")
-        hint = F.broadcast(marked) if n <= BROADCAST_ROWS // 4 else marked
-        near = _blocks(open_, "h", "seg", "n", "sim").join(hint, ["tab", "bits"]).where(F.bit_count(F.col("sim").bitwiseXOR(F.col("seed_sim"))) <= HAMMING)
-        met = seeds.select("seed", "label", "seed_words", F.explode("prefix").alias("key"))
-        met = F.broadcast(met) if n <= BROADCAST_ROWS // 16 else met
-        by_word = open_.select("h", "seg", "n", "sim", "n_words", F.explode("prefix").alias("key")).join(met, "key")
+            break
+        cols = ["h", "seg", "seed", "seed_fold", "label"]
+        marked = _blocks(seeds.withColumn("sim", F.col("seed_sim")), "seed_sim", "seed", "seed_fold", "label")
+        near = _meet(_blocks(open_, "h", "seg", "sim"), marked, ["tab", "bits"], 4 * n).where(F.bit_count(F.col("sim").bitwiseXOR(F.col("seed_sim"))) <= HAMMING)
+        met = seeds.select("seed", "seed_fold", "label", "seed_words", F.explode("prefix").alias("key"))
+        by_word = _meet(open_.select("h", "seg", "n_words", F.explode("prefix").alias("key")), met, ["key"], 16 * n)
         by_word = by_word.where(F.least("n_words", "seed_words") * (2 - SIMILAR) >= SIMILAR * F.greatest("n_words", "seed_words") - 1e-6)
-        near = near.select("h", "seg", "n", "sim", "seed", "label").unionByName(by_word.select("h", "seg", "n", "sim", "seed", "label"))
-        near = near.dropDuplicates(["h", "seed"])
-        fresh = near.mapInArrow(_verify_batches, _SEGMENT).groupBy("h").agg(F.min(F.struct("label", "seg", "n", "sim")).alias("s")).select("h", "s.seg", "s.n", "s.sim", "s.label")
-        fresh = settle(fresh, "residue-fresh")
-        found = found.unionByName(fresh.select("h", "label", "n"))
+        near = near.select(*cols).unionByName(by_word.select(*cols)).dropDuplicates(["h", "seed_fold"])
+        fresh = settle(near.mapInArrow(_verify_batches, "h string, label string").groupBy("h").agg(F.min("label").alias("label")), "residue-fresh")
+        fresh = F.broadcast(fresh) if fresh.count() <= BROADCAST_ROWS else fresh
+        frontier = settle(open_.drop("label").join(fresh, "h"), "residue-frontier")
+        found = found.unionByName(frontier.select("h", "label", "n"))
         open_ = open_.join(fresh.select("h"), "h", "left_anti")
-        frontier = fresh
+    return found
+
+
+def _meet(open_: DataFrame, seeds: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """Join of sentences with seeds; a shuffle, in blocks for keys of many rows, unless the seeds are few."""
+    if size <= BROADCAST_ROWS:
+        return open_.join(F.broadcast(seeds), keys)
+    return block_join(settle(open_, "residue-open"), settle(seeds, "residue-met"), keys, F.col("h"), F.col("seed_fold"))
 
 
 def all_messages(dialogues: DataFrame, responses: DataFrame) -> DataFrame:
@@ -275,11 +300,11 @@ def all_messages(dialogues: DataFrame, responses: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def residue_messages(messages: DataFrame, text: str = "text") -> DataFrame:
+def residue_messages(messages: DataFrame, text: str = "text", propagate: bool = True) -> DataFrame:
     """The keys of ``messages`` (all columns but ``text``) that hold residue, and ``residue``, its kind."""
     keys = [c for c in messages.columns if c not in (text, "residue")]
     packed = messages.select(F.struct(*keys).alias("_key"), F.col(text).alias("_text"))
-    bad = settle(residue_segments(packed, "_text"), "residue-labels")
+    bad = settle(residue_segments(packed, "_text", propagate), "residue-labels")
     found = segments(packed, "_text").select("_key", "h")
     if bad.count() <= BROADCAST_ROWS:
         hits = found.join(F.broadcast(bad), "h")

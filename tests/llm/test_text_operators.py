@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
     "text",
     [
         "Привет, {{name}}!", "Hi [add reason]!", "Dear ${user},", "Здравствуй, ИМЯ_ПОЛЬЗОВАТЕЛЯ", "Lorem ipsum dolor", "502 Bad Gateway", "<html><head><title>x</title>", "Please enable JavaScript to continue.",
+        "Feltuma norfelus oraora emquisa oramitus perfelus rudsula darperis.", "Our server is currently overloaded.", "Sorry, this site is not available.", "Запрос отклонён: слишком много запросов.", "Соединение сброшено.", "Байланыс үзілді.",
         "В вашем браузере отключены скрипты.", "Traceback (most recent call last):", "asdf asdf asdf", "TODO: write the reply (3)", "Доступ запрещён.", "[object Object]", "Hello undefined", "%(topic)s", "Ваш текст здесь",
     ],
 )
@@ -21,7 +22,7 @@ def test_residue_is_labelled(text):
     "text",
     [
         "Учу JavaScript по ночам и ничего не успеваю.", "Ошибка 500 на сервере — не твоя вина.", "[вздыхает] Ну вот так.", "Уверенность упала на 90%, честно.", "They answered with a template and left out my name.",
-        "Сервер в голове будто недоступен.", "Access to rest is not denied to you.", "I <3 you", "", None, "...", "null", "[ВЗДЫХАЕТ] НУ ВОТ ТАК И ЖИВЁМ.",
+        "Сервер в голове будто недоступен.", "Access to rest is not denied to you.", "Доступ к этой радости не закрыт навсегда.", "The page of my life where he was not found is turned.", "My mama has a panda, a koala and a gorilla.", "I <3 you", "", None, "...", "null", "[ВЗДЫХАЕТ] НУ ВОТ ТАК И ЖИВЁМ.",
     ],
 )
 def test_talk_about_such_things_is_none(text):
@@ -44,12 +45,51 @@ def test_simhash_of_near_sentences():
     assert a == b and bin(int(a) ^ int(c)).count("1") > residue.HAMMING
 
 
+SERVICE_LINES = [
+    "our gateway had a problem while it was reading the long reply of the upstream model today: 502 bad gateway", "sorry for the wait, the page was not found on this site or its address is out of date by now",
+    "this service is temporarily unavailable because of planned works on the line, please come back in the evening", "you need to enable javascript in the settings of your browser in order to read the rest of this page",
+    "к сожалению, сервис временно недоступен из-за плановых работ на линии, зайдите к нам снова сегодня вечером", "для просмотра остальной части этой страницы вам нужно включить javascript в настройках вашего браузера",
+    "please replace before release this sample line that the editors left here for the next version of the form", "кешіріңіз, желідегі жоспарлы жұмыстарға байланысты бұл қызмет уақытша қолжетімсіз, кешке қайта кіріп көріңіз",
+]
+SPOILT = [("502", "five"), ("bad", "bat"), ("found", "fount"), ("unavailable", "unavailible"), ("javascript", "javascrypt"), ("недоступен", "недоступин"), ("before", "befor"), ("қолжетімсіз", "қолжетмсіз")]
+
+
+def test_propagation_finds_what_no_pattern_does(spark):
+    """Wordings that escape the patterns are found through their near-duplicates, and only so."""
+    import random
+
+    rng = random.Random(1)
+    rows, spoilt = [(i, x) for i, x in enumerate(SERVICE_LINES)], set()
+    for k in range(80):
+        ws = SERVICE_LINES[k % 8].split()
+        for old, new in SPOILT:
+            ws = [w.replace(old, new) for w in ws]
+        if k >= 8:
+            ws[rng.randrange(len(ws))] = rng.choice(["indeed", "также", "әрі"])  # now and then only near a spoilt one
+        if residue.label(" ".join(ws)) is None:
+            spoilt.add(100 + k)
+        rows.append((100 + k, " ".join(ws)))
+    rows += [(500 + i, x) for i, x in enumerate(["thank you for the long and quiet evening at the river", "учу javascript по ночам и ничего не успеваю", "the server in my head is down today and i can not sleep"])]
+    t = spark.createDataFrame(rows, "k long, text string")
+    without = {r["k"] for r in residue.residue_messages(t, propagate=False).collect()}
+    with_ = {r["k"] for r in residue.residue_messages(t).collect()}
+    assert len(spoilt) > 60 and not spoilt & without
+    assert len(spoilt & with_) >= 0.95 * len(spoilt) and max(with_) < 500
+
+
+def test_blocks_give_the_same_labels(spark, monkeypatch):
+    lines = [(i, x) for i, x in enumerate(SERVICE_LINES)] + [(20 + i, x.replace("502 bad", "502 bat").replace("not found", "not fount").replace("недоступен", "недоступин")) for i, x in enumerate(SERVICE_LINES)]
+    t = spark.createDataFrame(lines, "k long, text string")
+    want = sorted(tuple(r) for r in residue.residue_messages(t).collect())
+    monkeypatch.setattr(residue, "BROADCAST_ROWS", 0)
+    assert sorted(tuple(r) for r in residue.residue_messages(t).collect()) == want
+
+
 def test_label_spreads_through_components(spark):
     base = "our gateway had a problem while it was reading the long reply of the upstream model today: 502 bad gateway"
     near = base.replace("502 bad gateway", "502 bad gatewey")
     t = spark.createDataFrame([(1, base), (2, near), (3, "спасибо за доверие, это было непросто сказать вслух")], "k long, text string")
-    got = {r["k"] for r in residue.residue_messages(t).collect()}
-    assert 1 in got and 3 not in got
+    assert {r["k"] for r in residue.residue_messages(t).collect()} == {1, 2}
 
 
 def test_label_spreads_to_near_sentences(spark):
@@ -88,17 +128,74 @@ def test_leaks_exact_and_reparameterised(spark):
     )
     items = spark.createDataFrame([("i1", PASSAGE), ("i2", None), ("i3", "short one")], "id string, message string")
     got = {(r["doc_id"], r["item_id"]): (r["exact"], r["reparameterised"]) for r in leakage.leaks(docs, items).collect()}
-    assert got == {(1, "i1"): (True, False), (2, "i1"): (False, True) if (2, "i1") in got and not got[(2, "i1")][0] else (True, True), (6, "i1"): (True, False)}
+    assert got == {(1, "i1"): (True, False), (2, "i1"): (False, True), (6, "i1"): (True, False)}
     assert leakage.leaks(docs.limit(0), items).count() == 0
     assert leakage.leaks(docs, items.limit(0)).count() == 0
 
 
-def test_leak_paths_agree(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, PASSAGE + " end"), (2, "nothing here")], "doc_id long, text string")
-    items = spark.createDataFrame([("i1", PASSAGE)], "id string, message string")
-    small = leakage.leaks(docs, items).collect()
+TALE = "Yesterday my friend {0} told me that {1} people came to the old library and {2} waited near the door for half an hour until {0} went home"
+
+
+def test_names_are_slots_by_form_on_both_paths(spark, monkeypatch):
+    """No item holds the names that the documents put in."""
+    docs = [
+        (1, "So: " + TALE.format("Aliya", 14, "Marat")), (2, TALE.format("Zhanna", 71, "Gulnar")), (3, TALE.format("Zhanna", 14, "Marat").replace("until Zhanna", "until Aliya")),
+        (4, TALE.format("Aliya", 14, "Marat").upper()), (5, TALE.format("Zhanna", 14, "Zhanna")), (6, "nothing here"), (7, TALE.format("Zhanna", 71, "Gulnar") + ". " + TALE.format("Aliya", 14, "Marat")),
+    ]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([("i1", TALE.format("Aliya", 14, "Marat")), ("i2", "another text of more than twelve words that no document of these has in it at all")], "id string, message string")
+
+    def found():
+        return sorted(tuple(r) for r in leakage.leaks(docs, items).collect())
+
+    small = found()
+    got = {r[0]: r[2:4] for r in small}
+    assert got[1] == (True, False) and got[4] == (True, False) and got[2][1] and got[7] == (True, True)
+    # 3: one name goes to two values; 5: two names go to one value, which each window still maps.
+    assert 3 not in got or not got[3][1]
+    assert 6 not in got and {r[1] for r in small} == {"i1"}
     monkeypatch.setattr(leakage, "BROADCAST_WINDOWS", 0)
-    assert sorted(map(tuple, leakage.leaks(docs, items).collect())) == sorted(map(tuple, small))
+    assert found() == small
+    monkeypatch.setattr("corpusmill.runtime.ROWS_PER_SALT", 1)
+    assert found() == small
+
+
+def test_templates_against_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    pool = "we met at noon near old bridge with red boat 12 30 Aliya Marat Dana Olzhas days hours".split()
+    text = lambda n: "and " + " ".join(rng.choice(pool) for _ in range(n))
+    items = [(f"i{k}", text(18)) for k in range(6)]
+    docs = []
+    for k in range(60):
+        ws = rng.choice(items)[1].split()
+        for _ in range(rng.randrange(4)):
+            swap = rng.choice([("12", "44"), ("Aliya", "Saule"), ("Marat", "Dana"), ("days", "weeks"), ("boat", "ship")])
+            ws = [swap[1] if w == swap[0] else w for w in ws]
+        docs.append((k, " ".join(ws) + " end"))
+
+    def template(words, names):
+        return tuple("#" if any(c.isdigit() for c in w) else "u" if w in leakage.UNITS else "N" if w in names else w for w in words)
+
+    want = set()
+    for d, x in docs:
+        for i, y in items:
+            wx, wy = leakage.words(x), leakage.words(y)
+            for shift in range(-len(wy), len(wx)):
+                pairs, exact, n = set(), False, 0
+                for names_x, names_y in ((set(), set()), (leakage.names(x), leakage.names(y))):
+                    tx, ty = template(wx, names_x), template(wy, names_y)
+                    for q in range(len(wy) - 11):
+                        p = q + shift
+                        if 0 <= p <= len(wx) - 12 and tx[p : p + 12] == ty[q : q + 12]:
+                            n += 1
+                            exact |= wx[p : p + 12] == wy[q : q + 12]
+                            pairs |= {(b, a) for a, b, t in zip(wx[p : p + 12], wy[q : q + 12], tx[p : p + 12], strict=True) if t in "#uN"}
+                if n and (exact or len(pairs) == len({b for b, _ in pairs})):
+                    want.add((d, i))
+    made = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "id string, message string"))
+    assert {(r["doc_id"], r["item_id"]) for r in made.collect()} == want and len(want) > 20
 
 
 # --- problem 6 ---
