@@ -23,8 +23,17 @@ iw AS (SELECT DISTINCT id, array_to_string(w[p:p + 11], ' ') AS g FROM i, unnest
 P9 = f"""WITH t AS (SELECT source, sum(len({_WORDS.format("coalesce(text, '')")})) AS n FROM documents WHERE source IN (SELECT source FROM mix_targets) GROUP BY source), s AS (SELECT sum(n) AS total FROM t) """
 
 
+# The language slice of problem 2: a lower-case primary subtag.
+_TAG = "nullif(regexp_extract(lower(trim({0})), '^([a-z]{{2,3}})(?:$|[^a-z])', 1), '')"
+P2 = f"""WITH u AS (SELECT 'val' AS tbl, source, {_TAG.format("lang")} AS tag FROM val UNION ALL SELECT 'documents', source, {_TAG.format("lang")} FROM documents UNION ALL SELECT 'v13_shape_synth', batch_name, {_TAG.format("meta.locale")} FROM v13_shape_synth),
+d AS (SELECT source, min(domain_name) AS domain FROM sources GROUP BY source) """
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_slice_rows": P2 + "SELECT tbl, u.source, CASE tag WHEN 'eng' THEN 'en' WHEN 'rus' THEN 'ru' WHEN 'kaz' THEN 'kk' WHEN 'kz' THEN 'kk' ELSE tag END AS lang, domain, count(*) AS n_rows FROM u LEFT JOIN d ON d.source = u.source GROUP BY ALL",
+        "p7_margins": P7 + "SELECT s.field_name, s.category, coalesce(a.n, 0) AS available, true AS kept FROM sample_targets s LEFT JOIN a ON a.field_name = s.field_name AND a.category = s.category",
+        "p9_margins": "SELECT m.source, count(*) AS n_docs, true AS within FROM documents d JOIN mix_targets m ON m.source = d.source GROUP BY m.source",
         "p3_found": P3 + "SELECT keep_id, rec_id AS dup_id FROM g WHERE rec_id <> keep_id",
         "p3_collapsed": P3 + "SELECT rec_id, n AS n_copies FROM g WHERE rec_id = keep_id",
         "p7_found": P7 + "SELECT s.field_name, s.category FROM sample_targets s LEFT JOIN a ON a.field_name = s.field_name AND a.category = s.category, tenth WHERE coalesce(a.n, 0) < greatest(s.min_rows, s.target_share * t)",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.form_duplicates import collapse, form_duplicates
 from corpusmill.llm import language, leakage, mixing, pairs, quota_sample, residue, split_overlap, tokens, truncation
-from corpusmill.runtime import load
+from corpusmill.runtime import load, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,17 +39,40 @@ def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.corpus_units(*(load(spark, sf_dir, t) for t in ("val", "documents", "v13_shape_synth", "sources")))
 
 
+_TOKEN_DIMS = ["tbl", "source", "lang", "domain"]
+
+
+def _ledger(spark: SparkSession, sf_dir: str) -> tokens.TokenLedger:
+    """A ledger of two updates: what had arrived by the start of the last month, then everything."""
+    units = _units(spark, sf_dir)
+    book = tokens.TokenLedger(spark, f"{scratch(spark, 'token-ledger')}", ["tbl", "row_key"], _TOKEN_DIMS)
+    until = units.agg(F.date_trunc("month", F.max("arrived"))).scalar()
+    book.update(units.where(F.col("arrived").isNull() | (F.col("arrived") < until)))
+    book.update(units)
+    return book
+
+
 def p2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of each row of val, documents and v13_shape_synth."""
-    snap = tokens.snapshot(_units(spark, sf_dir), None, ["tbl", "row_key"], ["source", "lang", "domain"])
-    return snap.drop("content_hash")
+    """Tokens of each row of val, documents and v13_shape_synth, from the ledger."""
+    return _ledger(spark, sf_dir).snapshot().drop("content_hash")
 
 
 def p2_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals by source, language and domain and all coarser slices."""
-    dims = ["tbl", "source", "lang", "domain"]
-    snap = tokens.snapshot(_units(spark, sf_dir), None, ["row_key"], dims)
-    return tokens.rollups(tokens.cube(snap, dims), dims)
+    """Totals by source, language and domain and all coarser slices, from the ledger's cube."""
+    return tokens.rollups(_ledger(spark, sf_dir).cube(), _TOKEN_DIMS)
+
+
+def p2_slice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each slice of the ledger's cube."""
+    return _ledger(spark, sf_dir).cube().select(*_TOKEN_DIMS, "n_rows")
+
+
+def p2_repeats_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each slice loses once repeated contents are taken out: the signed deltas of a third update."""
+    book = _ledger(spark, sf_dir)
+    first = book.snapshot().groupBy("content_hash").agg(F.min(F.struct("tbl", "row_key")).alias("k")).select("k.*")
+    book.update(_units(spark, sf_dir).join(first, ["tbl", "row_key"], "left_semi"))
+    return book.changes()
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +134,7 @@ def _fields() -> dict:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets that can't be met: found by the sampling operator's needs."""
+    """Targets that the drawn sample doesn't meet though it took every row of the category."""
     rows, targets = load(spark, sf_dir, "v13_shape_synth"), load(spark, sf_dir, "sample_targets")
     drawn = quota_sample.sample(rows, targets, _fields(), F.col("shape"), "rec_id")
     return quota_sample.report(rows, targets, _fields(), drawn).where("short").select("field_name", "category")
@@ -128,6 +151,12 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quota_sample.report(rows, targets, _fields(), drawn)
 
 
+def p7_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each category's rows in the sample are what is needed and available, rounded down or up."""
+    goal = F.least("needed", F.col("available").cast("double"))
+    return p7_shares(spark, sf_dir).select("field_name", "category", "available", F.col("drawn").between(F.floor(goal), F.ceil(goal)).alias("kept"))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "cross_topic_regression"))
 
@@ -163,6 +192,15 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mix(spark, sf_dir))
 
 
+def p9_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each source, and whether the mix uses each floor(rate) times or once more, within max_repeats."""
+    docs, rates = _mix(spark, sf_dir)
+    used = mixing.mix(docs, rates).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    all_ = docs.select("doc_id", "source").join(rates.select("source", "rate", "cap"), "source").join(used, "doc_id", "left").fillna(0, ["n"])
+    within = F.col("n").between(F.floor("rate"), F.floor("rate") + 1) & (F.col("n") <= F.col("cap"))
+    return all_.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.every(within).alias("within"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncated(load(spark, sf_dir, "documents")).select("doc_id")
 

@@ -4,7 +4,9 @@ Per field, the needed counts are spread over a second stratum in proportion to
 what is there; the fractional two-way table is made integer by max-flow, both
 margins kept (controlled rounding), and each cell then takes exactly its quota
 of rows by smallest random key.  A cell may hold a third of all rows: its cut
-key is found from key histograms, and only the one bucket at the cut is ranked.
+key is found from a key histogram of about as many buckets as the root of its rows,
+and only the one bucket at the cut is ranked.  A target isn't met if the sample
+took all rows of its category and they are fewer than needed.
 
 Defined cases: a value counts after trim and lower case; null values match no
 category; a category that no row has gets 0 rows and is reported; a null share
@@ -14,15 +16,14 @@ only the minima; a category listed twice for one field has its shares summed.
 
 from __future__ import annotations
 
+import math
 from collections import deque
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Key buckets per cell; the bucket at the cut holds about 1/BUCKETS of a cell.
-BUCKETS = 4096
-#: Largest two-way table rounded on the driver, in cells (categories x strata).
-MAX_CELLS = 200_000
+#: Largest two-way table rounded on the driver, in cells (categories x strata), and most targets; more raise an error.
+MAX_CELLS = 20_000
 
 
 def normal(col: Column) -> Column:
@@ -30,7 +31,7 @@ def normal(col: Column) -> Column:
 
 
 def needs(rows: DataFrame, targets: DataFrame, fields: dict[str, Column], fraction: float = 0.1) -> DataFrame:
-    """(field_name, category, available, needed, short): the targets against what is there.
+    """(field_name, category, available, needed): the targets against what is there.
 
     needed = max(min_rows, target_share x floor(fraction x all rows)).
     """
@@ -40,7 +41,7 @@ def needs(rows: DataFrame, targets: DataFrame, fields: dict[str, Column], fracti
     want = targets.groupBy("field_name", "category").agg(F.sum("target_share").alias("share"), F.max("min_rows").alias("least")).fillna(0, ["share", "least"])
     t = want.join(have, ["field_name", "category"], "left").fillna(0, ["available"]).withColumn("tenth", tenth)
     needed = F.greatest(F.col("least").cast("double"), F.col("share") * F.col("tenth"))
-    return t.select("field_name", "category", "available", needed.alias("needed"), (F.col("available") < needed).alias("short"))
+    return t.select("field_name", "category", "available", needed.alias("needed"))
 
 
 def round_table(table: list[list[float]]) -> list[list[int]]:
@@ -49,8 +50,6 @@ def round_table(table: list[list[float]]) -> list[list[int]]:
     The fractional parts are a feasible flow rows -> columns with unit cells; an
     integral one with the same bounds exists, and augmenting paths find it.
     """
-    import math
-
     n, m = len(table), len(table[0]) if table else 0
     eps = 1e-9
     base = [[math.floor(x + eps) for x in row] for row in table]
@@ -108,7 +107,7 @@ def round_table(table: list[list[float]]) -> list[list[int]]:
 
 
 def quotas(rows: DataFrame, targets: DataFrame, field: str, value: Column, stratum: Column, need: DataFrame) -> DataFrame:
-    """(category, stratum, quota): integer quotas of one field, as a small table.
+    """(category, stratum, quota, bits): integer quotas of one field and the bits of a key that number its histogram, as a small table.
 
     Counts per (category, stratum) come to the driver, at most MAX_CELLS of them:
     the table is that of the targets' categories, not of all values.
@@ -119,22 +118,26 @@ def quotas(rows: DataFrame, targets: DataFrame, field: str, value: Column, strat
     got = cells.limit(MAX_CELLS + 1).collect()
     if len(got) > MAX_CELLS:
         raise ValueError(f"{field}: the two-way table has more than {MAX_CELLS} cells; choose a coarser stratum")
-    want = {r["category"]: (r["needed"], r["available"]) for r in need.where(F.col("field_name") == field).limit(MAX_CELLS).collect()}
+    listed_needs = need.where(F.col("field_name") == field).limit(MAX_CELLS + 1).collect()
+    if len(listed_needs) > MAX_CELLS:
+        raise ValueError(f"{field}: more than {MAX_CELLS} targets")
+    want = {r["category"]: (r["needed"], r["available"]) for r in listed_needs}
     names = sorted({r["category"] for r in got})
     strata = sorted({r["stratum"] for r in got})
     count = {(r["category"], r["stratum"]): r["count"] for r in got}
     table = [[min(want[c][0], want[c][1]) * count.get((c, x), 0) / want[c][1] for x in strata] for c in names]
     done = round_table(table) if names else []
-    out = [(c, x, min(done[i][j], count.get((c, x), 0))) for i, c in enumerate(names) for j, x in enumerate(strata) if done[i][j] > 0]
-    return spark.createDataFrame(out, "category string, stratum string, quota long")
+    out = [(c, x, min(done[i][j], count.get((c, x), 0)), math.ceil(math.log2(count.get((c, x), 0) + 1) / 2)) for i, c in enumerate(names) for j, x in enumerate(strata) if done[i][j] > 0]
+    return spark.createDataFrame(out, "category string, stratum string, quota long, bits int")
 
 
 def draw(rows: DataFrame, quota: DataFrame, value: Column, stratum: Column, id_col: str, seed: int = 42) -> DataFrame:
     """(id, category): exactly ``quota`` rows of each cell, those of smallest random key."""
     key = F.xxhash64(F.col(id_col), F.lit(seed))
-    bucket = F.shiftrightunsigned(key, 52).cast("int")
-    keyed = rows.select(F.col(id_col).alias("id"), normal(value).alias("category"), F.coalesce(stratum, F.lit("\x00")).alias("stratum"), key.alias("key"), bucket.alias("bucket"))
+    keyed = rows.select(F.col(id_col).alias("id"), normal(value).alias("category"), F.coalesce(stratum, F.lit("\x00")).alias("stratum"), key.alias("key"))
     keyed = keyed.join(F.broadcast(quota), ["category", "stratum"])  # quota: MAX_CELLS rows at most
+    bucket = F.when(F.col("bits") == 0, F.lit(0)).otherwise(F.expr("int(shiftrightunsigned(key, 64 - bits))"))
+    keyed = keyed.withColumn("bucket", bucket).drop("bits")
     from pyspark.sql import Window
 
     hist = keyed.groupBy("category", "stratum", "quota", "bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -164,4 +167,5 @@ def report(rows: DataFrame, targets: DataFrame, fields: dict[str, Column], drawn
 
     got = drawn.groupBy("field_name", "category").agg(F.count(F.lit(1)).alias("drawn"))
     t = needs(rows, targets, fields, fraction).join(got, ["field_name", "category"], "left").fillna(0, ["drawn"])
-    return t.withColumn("share", F.try_divide(F.col("drawn"), F.sum("drawn").over(Window.partitionBy("field_name"))))
+    short = (F.col("drawn") == F.col("available")) & (F.col("drawn") < F.col("needed"))  # the sample took all there is
+    return t.withColumn("share", F.try_divide(F.col("drawn"), F.sum("drawn").over(Window.partitionBy("field_name")))).withColumn("short", short)

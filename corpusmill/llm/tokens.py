@@ -2,7 +2,9 @@
 
 Counts come from a public byte-level BPE.  A content-and-tokenizer-hash table
 keeps the count of every content ever seen, so only unseen or changed documents
-are encoded; cubes follow by signed deltas, removed documents included.
+are encoded, each distinct content once; cubes follow by signed deltas, removed
+documents included.  ``TokenLedger`` keeps all three in a folder, from which any
+later session goes on.
 
 Within one Arrow batch, a text is cut at single spaces: in this family of
 tokenizers a space always starts a new pre-token, so the count of a text is the
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.runtime import settle
+from corpusmill.runtime import salted_join, salts_for, settle
 
 #: Folder of the public vocabularies; a parameter of every operator here.
 TOKENIZERS = "/opt/tokenizers"
@@ -33,24 +35,33 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces remembered per Python worker; the cache is emptied when full.
 CACHE_PIECES = 300_000
+#: Row ids up to this number are broadcast (about 30 bytes each); beyond, a shuffle join.
+BROADCAST_IDS = 300_000
 
 _encoders: dict[str, object] = {}
 
 
 def encoder(path: str):
     """The tiktoken encoding of a vocabulary file, once per process."""
+    if path not in _encoders:
+        with open(path, "rb") as f:
+            encoder_of(path, f.read())
+    return _encoders[path]
+
+
+def encoder_of(path: str, vocabulary: bytes):
+    """The same from the file's bytes, which the driver broadcasts: executors need no vocabulary folder."""
     if path not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         _encoders[path] = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _encoders[path]
 
 
-def counter(path: str, cache_pieces: int = CACHE_PIECES):
+def counter(path: str, cache_pieces: int = CACHE_PIECES, vocabulary: bytes | None = None):
     """A function text -> number of tokens, with a cache of space-led pieces."""
-    encode = encoder(path).encode_ordinary
+    encode = (encoder(path) if vocabulary is None else encoder_of(path, vocabulary)).encode_ordinary
     cache: dict[str, int] = {}
 
     def count(text: str | None) -> int:
@@ -77,9 +88,11 @@ def with_token_counts(rows: DataFrame, text: str, out: str = "n_tokens", vocabul
     path = f"{tokenizers}/{vocabulary}"
     keep = [c for c in rows.columns if c not in (text, out)]
     fields = [rows.schema[c] for c in keep]
+    with open(path, "rb") as f:
+        shared = rows.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file, about a megabyte
 
     def run(batches: Iterable[pa.RecordBatch]):
-        count = counter(path)
+        count = counter(path, vocabulary=shared.value)
         for b in batches:
             n = pa.array([count(t) for t in b.column(text).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), n], [*keep, out])
@@ -95,33 +108,48 @@ def content_hash(text: Column, vocabulary: str = VOCABULARY) -> Column:
     return F.concat(F.lpad(F.hex(F.xxhash64(shown, F.lit(vocabulary))), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(vocabulary + "/2"), shown)), 16, "0"))
 
 
-def count_table(docs: DataFrame, known: DataFrame | None = None, text: str = "text", vocabulary: str = VOCABULARY, tokenizers: str = TOKENIZERS) -> DataFrame:
-    """(content_hash, n_tokens) of all contents of ``docs``, encoding only those not in ``known``.
+def unseen(docs: DataFrame, id_cols: list[str], known: DataFrame | None = None, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """(content_hash, text) of each content of ``docs`` that isn't in ``known``, once.
 
-    Texts aren't shuffled: unseen rows are encoded where they are read, and the
-    (hash, count) pairs are then made distinct.
+    Only ids and hashes are shuffled to find them; texts stay where they are read while the rows to leave out
+    (repeats and known contents), or the rows to take, are few enough to be broadcast (BROADCAST_IDS, counted).
     """
-    hashed = docs.select(content_hash(F.col(text), vocabulary).alias("content_hash"), text)
+    hashed = docs.select(*id_cols, content_hash(F.col(text), vocabulary).alias("content_hash"), text)
+    keys = hashed.select("content_hash", F.struct(*id_cols).alias("_id"))
     if known is not None:
-        hashed = hashed.join(known.select("content_hash"), "content_hash", "left_anti")
-    fresh = with_token_counts(hashed, text, vocabulary=vocabulary, tokenizers=tokenizers).groupBy("content_hash").agg(F.first("n_tokens").alias("n_tokens"))
-    return fresh if known is None else known.select("content_hash", "n_tokens").unionByName(fresh)
+        keys = keys.join(known.select("content_hash"), "content_hash", "left_anti")
+        take = settle(keys.groupBy("content_hash").agg(F.min("_id").alias("_id")).select("_id.*"), "tokens-unseen")
+        small = F.broadcast(take) if take.count() <= BROADCAST_IDS else take
+        return hashed.join(small, id_cols, "left_semi").select("content_hash", text)
+    repeats = keys.groupBy("content_hash").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeats = settle(repeats.select("content_hash", "_first", salts_for(F.col("n")).alias("n_salts")), "tokens-repeats")
+    later = salted_join(keys, repeats, ["content_hash"], F.col("_id")).where("_id <> _first").select("_id.*")
+    later = settle(later, "tokens-later")
+    return hashed.join(F.broadcast(later) if later.count() <= BROADCAST_IDS else later, id_cols, "left_anti").select("content_hash", text)
+
+
+def count_table(docs: DataFrame, id_cols: list[str], known: DataFrame | None = None, text: str = "text", vocabulary: str = VOCABULARY, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """(content_hash, n_tokens) of the contents of ``docs`` that aren't in ``known``, each encoded once."""
+    return with_token_counts(unseen(docs, id_cols, known, text, vocabulary), text, vocabulary=vocabulary, tokenizers=tokenizers)
 
 
 def snapshot(docs: DataFrame, counts: DataFrame | None, id_cols: list[str], dims: list[str], text: str = "text", vocabulary: str = VOCABULARY, tokenizers: str = TOKENIZERS) -> DataFrame:
     """(ids, dims, content_hash, n_tokens): counts from the table, or encoded in place without one."""
-    cols = [*id_cols, *dims]
+    cols = list(dict.fromkeys([*id_cols, *dims]))  # a dimension may be part of the id
     hashed = docs.select(*cols, content_hash(F.col(text), vocabulary).alias("content_hash"), *([text] if counts is None else []))
     if counts is None:
         return with_token_counts(hashed, text, vocabulary=vocabulary, tokenizers=tokenizers)
-    return hashed.join(counts, "content_hash").select(*cols, "content_hash", "n_tokens")
+    often = hashed.groupBy("content_hash").agg(salts_for(F.count(F.lit(1))).alias("n_salts")).where("n_salts > 1")
+    sized = counts.join(F.broadcast(often), "content_hash", "left").fillna(1, ["n_salts"])  # often: rows / ROWS_PER_SALT at most
+    return salted_join(hashed, sized, ["content_hash"], F.struct(*id_cols)).select(*cols, "content_hash", "n_tokens")
 
 
 def deltas(old: DataFrame, new: DataFrame, id_cols: list[str], dims: list[str]) -> DataFrame:
     """Signed changes (dims, d_rows, d_tokens) between two snapshots: removed, added, changed or moved rows."""
     state = F.xxhash64("content_hash", *[F.coalesce(F.col(d), F.lit("\x00")) for d in dims])
-    a = old.select(*[F.col(i).alias(f"o_{i}") for i in id_cols], *[F.col(d).alias(f"o_{d}") for d in dims], F.col("n_tokens").alias("o_n"), state.alias("o_state"))
-    b = new.select(*id_cols, *dims, "n_tokens", state.alias("state"))
+    cols = list(dict.fromkeys([*id_cols, *dims]))
+    a = old.select(*[F.col(c).alias(f"o_{c}") for c in cols], F.col("n_tokens").alias("o_n"), state.alias("o_state"))
+    b = new.select(*cols, "n_tokens", state.alias("state"))
     on = F.lit(True)
     for i in id_cols:
         on = on & (F.col(f"o_{i}") == F.col(i))
@@ -153,60 +181,85 @@ def rollups(finest: DataFrame, dims: list[str]) -> DataFrame:
 
 
 class TokenLedger:
-    """Snapshot, count table and cube kept in a folder, brought up to date by ``update``."""
+    """Snapshot, count table and cube kept in a folder, brought up to date by ``update``.
+
+    Each update is a version: ``counts/N`` holds the contents first seen then (the count table is all of
+    them), ``snapshot/N`` the rows with their counts, ``deltas/N`` the signed changes and ``cube/N`` the totals, written last.
+    A new object goes on from the last version whose cube is complete; what a broken update left is overwritten.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, id_cols: list[str], dims: list[str], vocabulary: str = VOCABULARY, tokenizers: str = TOKENIZERS):
         self.spark, self.folder, self.id_cols, self.dims, self.vocabulary, self.tokenizers = spark, folder.rstrip("/"), id_cols, dims, vocabulary, tokenizers
         self.version = -1
+        while self._complete(self.version + 1):
+            self.version += 1
 
-    def _read(self, part: str) -> DataFrame | None:
-        return None if self.version < 0 else self.spark.read.parquet(f"{self.folder}/{self.version}/{part}")
+    def _complete(self, version: int) -> bool:
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/cube/{version}/_SUCCESS")
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+    def _read(self, part: str, version: int | None = None) -> DataFrame | None:
+        version = self.version if version is None else version
+        return None if version < 0 else self.spark.read.parquet(f"{self.folder}/{part}/{version}")
+
+    def _write(self, df: DataFrame, part: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.folder}/{part}/{self.version + 1}")
+        return self._read(part, self.version + 1)
+
+    def counts(self, version: int | None = None) -> DataFrame | None:
+        """The count table: the new contents of all versions so far."""
+        version = self.version if version is None else version
+        return None if version < 0 else self.spark.read.parquet(*[f"{self.folder}/counts/{v}" for v in range(version + 1)])
+
+    def snapshot(self) -> DataFrame:
+        return self._read("snapshot")
+
+    def cube(self) -> DataFrame:
+        return self._read("cube")
+
+    def changes(self) -> DataFrame:
+        """The signed changes (dims, d_rows, d_tokens) of the last update."""
+        return self._read("deltas")
 
     def update(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """Take ``docs`` as the new state; returns the new cube."""
-        known, old, old_cube = self._read("counts"), self._read("snapshot"), self._read("cube")
-        where = f"{self.folder}/{self.version + 1}"
-        count_table(docs, known, text, self.vocabulary, self.tokenizers).write.parquet(f"{where}/counts")
-        counts = self.spark.read.parquet(f"{where}/counts")
-        snapshot(docs, counts, self.id_cols, self.dims, text, self.vocabulary).write.parquet(f"{where}/snapshot")
-        new = self.spark.read.parquet(f"{where}/snapshot")
-        fresh = cube(new, self.dims) if old is None else apply_deltas(old_cube, deltas(old, new, self.id_cols, self.dims), self.dims)
-        fresh.write.parquet(f"{where}/cube")
+        self._write(count_table(docs, self.id_cols, self.counts(), text, self.vocabulary, self.tokenizers), "counts")
+        new = self._write(snapshot(docs, self.counts(self.version + 1), self.id_cols, self.dims, text, self.vocabulary), "snapshot")
+        old = self.snapshot() if self.version >= 0 else new.limit(0)
+        change = self._write(deltas(old, new, self.id_cols, self.dims), "deltas")
+        before = self.cube() if self.version >= 0 else cube(new.limit(0), self.dims)
+        self._write(apply_deltas(before, change, self.dims), "cube")
         self.version += 1
-        return self._read("cube")
+        return self.cube()
 
 
-def usual_lang(col: Column) -> Column:
-    """Lower-case primary subtag of a language tag; null where it names nothing usable."""
+def usual_lang(col: Column, known: tuple[str, ...] | None = ("en", "ru", "kk")) -> Column:
+    """Lower-case primary subtag of a language tag; null where it names no language, or none of ``known``."""
     tag = F.regexp_extract(F.lower(F.trim(col)), r"^([a-z]{2,3})(?:$|[^a-z])", 1)
     alias = F.create_map(*[F.lit(x) for x in ("eng", "en", "rus", "ru", "kaz", "kk", "kz", "kk")])
     tag = F.coalesce(F.element_at(alias, tag), tag)
-    return F.when(tag.isin("en", "ru", "kk"), tag)
+    return F.when(tag.isin(*known) if known else tag != "", tag)
 
 
 def corpus_units(val: DataFrame, documents: DataFrame, synth: DataFrame, sources: DataFrame) -> DataFrame:
-    """(tbl, row_key, source, lang, domain, text) of the three tables.
+    """(tbl, row_key, source, lang, domain, text, arrived) of the three tables.
 
     Message contents of a dialogue are joined by line ends; the language slice of
     dialogues is meta.locale.  ``sources`` is a dimension table of one row per
     source, far below any row table; its size is left to the optimizer to judge.
     """
     parts = [
-        val.select(F.lit("val").alias("tbl"), F.col("row_id").alias("row_key"), "source", F.col("lang").alias("lang"), "text"),
-        documents.select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("row_key"), "source", "lang", "text"),
+        val.select(F.lit("val").alias("tbl"), F.col("row_id").alias("row_key"), "source", F.col("lang").alias("lang"), "text", F.col("rendered_at").alias("arrived")),
+        documents.select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("row_key"), "source", "lang", "text", F.col("ingested_at").alias("arrived")),
         synth.select(
             F.lit("v13_shape_synth").alias("tbl"), F.col("rec_id").alias("row_key"), F.col("batch_name").alias("source"), F.col("meta.locale").alias("lang"),
-            F.array_join(F.transform("messages", lambda m: F.coalesce(m["content"], F.lit(""))), "\n").alias("text"),
+            F.array_join(F.transform("messages", lambda m: F.coalesce(m["content"], F.lit(""))), "\n").alias("text"), F.col("ingested_at").alias("arrived"),
         ),
     ]
     units = parts[0].unionByName(parts[1]).unionByName(parts[2])
     domain = sources.groupBy("source").agg(F.min("domain_name").alias("domain"))
-    return units.withColumn("lang", usual_lang(F.col("lang"))).join(domain, "source", "left")
-
-
-def settled_snapshot(units: DataFrame, **kw) -> DataFrame:
-    """A snapshot of ``units`` encoded in place and written once."""
-    return settle(snapshot(units, None, ["tbl", "row_key"], ["source", "lang", "domain"], **kw), "tokens")
+    return units.withColumn("lang", usual_lang(F.col("lang"), None)).join(domain, "source", "left")
 
 
 def tokenizer_available(tokenizers: str = TOKENIZERS) -> bool:

@@ -25,20 +25,44 @@ def test_ledger_deltas_equal_full_recount(spark, tmp_path):
     schema = "id long, source string, lang string, text string"
     one = spark.createDataFrame([(1, "a", "en", "one two"), (2, "a", None, "three"), (3, None, "ru", None), (4, "b", "ru", "привет мир")], schema)
     two = spark.createDataFrame([(1, "a", "en", "one two"), (2, "a", "en", "three four"), (4, "c", "ru", "привет мир"), (5, "b", "kk", "")], schema)
-    book = tokens.TokenLedger(spark, str(tmp_path), ["id"], ["source", "lang"])
-    for docs in (one, two, two.limit(0), one):
+    for k, docs in enumerate((one, two, two.limit(0), one)):
+        book = tokens.TokenLedger(spark, str(tmp_path), ["id"], ["source", "lang"])  # each update by a new object
+        assert book.version == k - 1
+        before = tokens.cube(book.snapshot(), ["source", "lang"]).collect() if k else []
         got = {tuple(r) for r in book.update(docs).select("source", "lang", "n_rows", "n_tokens").collect()}
         snap = tokens.snapshot(docs, None, ["id"], ["source", "lang"])
         assert got == {tuple(r) for r in tokens.cube(snap, ["source", "lang"]).collect()}
+        # The signed deltas are the difference of the two cubes.
+        sums = {(r[0], r[1]): [r[2], r[3]] for r in before}
+        for r in book.changes().collect():
+            s = sums.setdefault((r["source"], r["lang"]), [0, 0])
+            s[0], s[1] = s[0] + r["d_rows"], s[1] + r["d_tokens"]
+        assert {(*key, *v) for key, v in sums.items() if v[0]} == got
+    new = [spark.read.parquet(f"{tmp_path}/counts/{v}").count() for v in range(4)]
+    assert new == [4, 2, 0, 0]  # only contents never seen are encoded and written
 
 
 @HERE
-def test_only_unseen_contents_are_encoded(spark):
-    docs = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "text string")
-    known = tokens.count_table(docs)
-    assert known.count() == 3
-    more = tokens.count_table(spark.createDataFrame([("b",), ("c",)], "text string"), known)
-    assert more.count() == 4
+def test_broken_update_is_done_again(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a", "x y"), (2, "b", "z")], "id long, source string, text string")
+    tokens.TokenLedger(spark, str(tmp_path), ["id"], ["source"]).update(docs)
+    docs.write.parquet(f"{tmp_path}/counts/1")  # an update that broke before its cube
+    book = tokens.TokenLedger(spark, str(tmp_path), ["id"], ["source"])
+    assert book.version == 0
+    assert book.update(docs.where("id = 1")).collect()[0]["source"] == "a" and book.version == 1
+
+
+@HERE
+@pytest.mark.parametrize("few", [True, False])
+def test_each_content_is_encoded_once(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(tokens, "BROADCAST_IDS", 0)
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, None), (6, "a")], "k long, text string")
+    known = tokens.count_table(docs, ["k"]).collect()
+    assert sorted(r["n_tokens"] for r in known) == [0, 1, 1]
+    table = spark.createDataFrame(known, "content_hash string, n_tokens long")
+    more = tokens.count_table(spark.createDataFrame([(1, "b"), (2, "c d"), (3, "c d")], "k long, text string"), ["k"], table)
+    assert [r["n_tokens"] for r in more.collect()] == [2]
 
 
 # --- problem 4 ---
