@@ -5,7 +5,7 @@ or abstain (0).  A label model per defect, fitted by expectation-maximization on
 the counts of vote patterns (never on rows), gives each pattern a posterior; a
 pair carries every defect whose posterior exceeds the cutoff.
 
-Defined cases: a null or wordless answer is empty; a null or wordless question
+Defined cases: a null or wordless answer is empty unless it is an emoji or emoticon; a null or wordless question
 can't be copied and has no language; pairs with template residue in either
 message are left out; only an assistant message right after a user message makes
 a pair; repeated deliveries are pairs of their own.
@@ -34,6 +34,8 @@ MAX_PATTERNS = 3**N_VOTES
 
 # Stand-ins for an answer that says nothing.
 STAND_INS = frozenset("null none nil nan na n/a undefined empty blank пусто нет бос жоқ".split()) | {"n a", "no answer", "no response", "нет ответа", "без ответа", "жауап жоқ"}
+#: Emoji and emoticons, which say something without words.
+SIGNS = re.compile(r"[\U0001F300-\U0001FAFF☀-➿]|[:;]-?[)(DP]|<3")
 # How refusals open and what they say.
 APOLOGY = re.compile(r"^(?:sorry|i apologi[sz]e|apologies|unfortunately|i m afraid|i am afraid|извини\w*|прости\w*|к сожалению|увы|кешір\w*|өкінішке қарай)\b")
 REFUSING = re.compile(
@@ -51,6 +53,7 @@ SOFT_CLOSING = re.compile(
 )
 GREETING = frozenset("привет здравствуй здравствуйте да хм ок hi hello hey yes hm ok иә сәлем рақмет".split())
 _WORD = re.compile(r"[^\W_]+")
+_DIGITS = str.maketrans("123456789", "0" * 9)
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 #: Words that put a quoted question before an answer.
 LEAD_IN = frozenset("you ask asked say said write wrote question your ты спрашиваешь спросил пишешь написал говоришь вопрос твой сен сұрадың жаздың дедің сұрақ".split())
@@ -73,10 +76,14 @@ def lcs(a: list[str], b: list[str]) -> int:
     return len(a) - s.bit_count()
 
 
-def vote_empty(answer: str | None, wa: list[str]) -> tuple[int, int, int]:
-    no_words = not wa
-    stand_in = " ".join(wa) in STAND_INS
-    return (1 if no_words or stand_in else -1, 1 if answer is None or not answer.strip() else 1 if stand_in else 0 if len(wa) < 2 else -1, 1 if no_words or stand_in and len(wa) <= 2 else -1 if len(wa) > 2 else 0)
+def vote_empty(answer: str | None, wq: list[str], wa: list[str]) -> tuple[int, int, int]:
+    """By what is said, by the letters there are, and by size against the question."""
+    if not wa and SIGNS.search(answer or ""):
+        return -1, -1, 0  # a smile is an answer
+    said = -1 if wa and " ".join(wa) not in STAND_INS else 1
+    letters = sum(map(str.isalnum, answer or ""))
+    sizes = sum(map(len, wa)), sum(map(len, wq))
+    return said, 1 if not letters else 0 if letters < 6 else -1, 0 if sizes[1] < 40 else 1 if sizes[0] <= 0.03 * sizes[1] else -1 if sizes[0] >= 0.1 * sizes[1] else 0
 
 
 def vote_copy(wq: list[str], wa: list[str]) -> tuple[int, int, int]:
@@ -121,6 +128,7 @@ def vote_refusal(answer: str | None, wa: list[str]) -> tuple[int, int, int]:
 
 
 def vote_truncated(answer: str | None, wa: list[str], ends: terminality.Terminality) -> tuple[int, int, int]:
+    """By the closing words in their sentence, by the last word alone, and by how sure the first is (these two aren't independent)."""
     text = terminality.clean(answer or "")
     if not wa or text[-1:] in ".!?":
         return -1, -1, -1
@@ -151,7 +159,7 @@ def unpack(code: int) -> list[tuple[int, ...]]:
 
 def votes(question: str | None, answer: str | None, best, ends: terminality.Terminality) -> int:
     wq, wa = words(question), words(answer)
-    return pack((vote_empty(answer, wa), vote_copy(wq, wa), vote_language(best, wq, wa), vote_refusal(answer, wa), vote_truncated(answer, wa, ends)))
+    return pack((vote_empty(answer, wq, wa), vote_copy(wq, wa), vote_language(best, wq, wa), vote_refusal(answer, wa), vote_truncated(answer, wa, ends)))
 
 
 def dictionary(model: language.Model, margin: float = 2.0):
@@ -176,11 +184,12 @@ def dictionary(model: language.Model, margin: float = 2.0):
 
 
 def has_residue(text: str | None) -> bool:
-    return bool(text) and any(residue.label(s) for s in _SENTENCE.split(text))
+    """Whether a sentence is labelled as residue, its digits folded as in problem 1."""
+    return bool(text) and any(residue.label(s.strip()) for s in _SENTENCE.split(text.translate(_DIGITS)))
 
 
 def _vote_batches(shared_language, shared_ends):
-    neutral = pack(((-1, -1, -1), (-1, -1, -1), (-1, -1, -1), (-1, 0, -1), (-1, -1, -1)))
+    neutral = pack(((-1, -1, -1), (-1, -1, -1), (-1, -1, -1), (-1, 0, -1), (-1, -1, -1)))  # the usual sound pair
 
     def run(batches):
         best, ends = dictionary(shared_language.value), shared_ends.value
@@ -230,7 +239,7 @@ def label_model(patterns: dict[tuple[int, ...], int], rounds: int = 50) -> dict[
         post = new
         if done:
             break
-    return {k: float(x) for k, x in zip(keys, post, strict=True)}
+    return {k: float(x) if 1 in k else 0.0 for k, x in zip(keys, post, strict=True)}  # no defect for which nothing speaks
 
 
 def pair_rows(dialogues: DataFrame, responses: DataFrame) -> DataFrame:
@@ -250,7 +259,7 @@ def defects(dialogues: DataFrame, responses: DataFrame) -> DataFrame:
     spark = dialogues.sparkSession
     pairs = pair_rows(dialogues, responses)
     lang = language.fit(responses, F.col("locale"), F.concat_ws("\n", "message", "response"), F.col("resp_id"))
-    ends = terminality.fit(pairs, F.col("answer"), F.struct("tbl", "row_key", "msg_idx"))
+    ends = terminality.fit(pairs, F.col("answer"))
     b_lang, b_ends = spark.sparkContext.broadcast(lang), spark.sparkContext.broadcast(ends)  # bounded: MAX_WORDS, MAX_ENTRIES
     voted = settle(pairs.mapInArrow(_vote_batches(b_lang, b_ends), "tbl string, row_key long, msg_idx int, code long"), "pair-votes")
     counted = voted.groupBy("code").count()

@@ -1,7 +1,6 @@
 """How likely a text is complete, judged by its closing words.
 
-A model of sentence ends is fitted on a bounded sample of texts (FIT_TEXTS by
-hash).  For a sentence's opening two words, for word pairs and for single words
+A model of sentence ends is counted over all texts.  For a sentence's opening two words, for word pairs and for single words
 it holds how often they close a sentence and how often the sentence goes on.  The
 last sentence of a text is never used as evidence of an end unless it bears a
 closing mark, so cut texts don't teach the model that cuts are ends.
@@ -17,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most texts the model is fitted on.
-FIT_TEXTS = 30_000
-#: Most entries of the model, the most frequent ones.
-MAX_ENTRIES = 1_500_000
+#: Most entries of the model, the most frequent ones; a bound on what the driver and the workers hold, not on what is counted.
+MAX_ENTRIES = 1_000_000
+#: Keys that a task holds before it gives its counts out.
+TASK_ENTRIES = 500_000
 #: Whole closing lines without a mark count as complete from this many sightings on.
 CLOSING_LINES = 3
 
@@ -57,9 +56,9 @@ def sentences(text: str) -> list[str]:
     return [s for s in _CUT.split(text) if s and s.strip()]
 
 
-def counts(texts) -> tuple[Counter, Counter, Counter]:
-    """(ends, goes on, unmarked last lines) by key of the texts."""
-    end, on, last = Counter(), Counter(), Counter()
+def counts(texts, held: tuple[Counter, Counter, Counter] | None = None) -> tuple[Counter, Counter, Counter]:
+    """(ends, goes on, unmarked last lines) by key of the texts, added to ``held``."""
+    end, on, last = held = held or (Counter(), Counter(), Counter())
     for text in texts:
         if not text:
             continue
@@ -85,22 +84,31 @@ def counts(texts) -> tuple[Counter, Counter, Counter]:
                 end[f"{w[-2]}>{w[-1]}"] += 1
             else:
                 end[f"|{w[0]}"] += 1
-    return end, on, last
+    return held
 
 
 def _count_batches(batches):
-    for batch in batches:
-        end, on, last = counts(batch.column(0).to_pylist())
+    """Counts of a task's texts, given out whenever they reach TASK_ENTRIES keys."""
+
+    def rows(end, on, last):
         keys = list(end.keys() | on.keys())
         n = len(keys) + len(last)
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [
-                pa.array(["w"] * len(keys) + ["l"] * len(last)), pa.array(keys + list(last)),
+                pa.array(["w"] * len(keys) + ["l"] * len(last), pa.string()), pa.array(keys + list(last), pa.string()),
                 pa.array([end[k] for k in keys] + list(last.values()), pa.int64()), pa.array([on[k] for k in keys] + [0] * (n - len(keys)), pa.int64()),
             ],
             ["kind", "key", "n_end", "n_on"],
         )
 
+    held = Counter(), Counter(), Counter()
+    for batch in batches:
+        counts(batch.column(0).to_pylist(), held)
+        if sum(map(len, held)) > TASK_ENTRIES:
+            yield rows(*held)
+            held = Counter(), Counter(), Counter()
+    yield rows(*held)
+
 
 class Terminality:
     """Counts of sentence ends; picklable."""
@@ -187,12 +195,12 @@ class Terminality:
         return p
 
 
-def fit(texts: DataFrame, text: Column, id_col: Column, fit_texts: int = FIT_TEXTS, max_entries: int = MAX_ENTRIES) -> Terminality:
-    """Fit on about ``fit_texts`` texts of smallest hash; MAX_ENTRIES counts reach the driver."""
-    n = texts.count()
-    part = min(1.0, fit_texts / max(n, 1))
-    picked = texts.where(F.pmod(F.xxhash64(id_col, F.lit("ends")), F.lit(1 << 20)) < int(part * (1 << 20)) + (part == 1.0)).where(text.isNotNull()).select(text.alias("text"))
-    total = picked.mapInArrow(_count_batches, "kind string, key string, n_end long, n_on long").groupBy("kind", "key").agg(F.sum("n_end").alias("n_end"), F.sum("n_on").alias("n_on"))
+def fit(texts: DataFrame, text: Column, max_entries: int = MAX_ENTRIES) -> Terminality:
+    """Count the sentence ends of all texts; the ``max_entries`` most frequent counts reach the driver.
+
+    A rarer opening or pair is judged by its last word alone, as one never seen.
+    """
+    total = texts.where(text.isNotNull()).select(text.alias("text")).mapInArrow(_count_batches, "kind string, key string, n_end long, n_on long").groupBy("kind", "key").agg(F.sum("n_end").alias("n_end"), F.sum("n_on").alias("n_on"))
     got = total.where("n_end + n_on > 1 or not (key like '%|%' or key like '%>%')").orderBy(F.desc(F.col("n_end") + F.col("n_on")), "key").limit(max_entries).toArrow()
     ends, last = {}, {}
     for kind, key, e, m in zip(*(got.column(c).to_pylist() for c in ("kind", "key", "n_end", "n_on")), strict=True):

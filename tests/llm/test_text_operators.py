@@ -255,6 +255,38 @@ def test_lcs_against_brute_force():
         assert pairs.lcs(a, b) == slow(a, b)
 
 
+def test_defects_on_labelled_pairs(spark):
+    """Precision and recall of each defect on generated pairs whose defect is known, at the cutoff in use."""
+    import random
+
+    rng = random.Random(12)
+    say = {
+        "en": ("my sister called late and the kitchen was quiet|what would help you rest this evening|the road home from work was long today|we can look at the letter together tomorrow|it makes sense that the noise kept you awake|you noticed the change before the others did", "I cannot help with this request."),
+        "ru": ("сестра позвонила поздно и на кухне было тихо|что поможет тебе отдохнуть сегодня вечером|дорога домой с работы была длинной|завтра мы вместе посмотрим на это письмо|понятно что шум не давал тебе уснуть|ты заметил перемену раньше остальных", "Извини, я не могу помочь с этим запросом."),
+        "kk": ("әпкем кеш қоңырау шалды да ас үй тыныш болды|бүгін кешке саған демалуға не көмектеседі|жұмыстан үйге дейінгі жол ұзақ болды|ертең біз бұл хатты бірге қараймыз|шу саған ұйықтауға мүмкіндік бермегені түсінікті|сен өзгерісті басқалардан бұрын байқадың", "Кешір, бұл туралы жауап бере алмаймын."),
+    }
+    said = {k: v[0].split("|") for k, v in say.items()}
+    text = lambda k, of=slice(3, 6): ". ".join(s.capitalize() for s in rng.sample(said[k][of], 3)) + "."
+    rows, want = [], {}
+    for i in range(900):
+        k = rng.choice(list(said))
+        q, a, defect = text(k, slice(3)), text(k), None
+        if i % 3 == 0:
+            defect = rng.choice(pairs.DEFECTS)
+            a = {
+                "empty": lambda: rng.choice([None, "", "—", "..."]), "copies_question": lambda: rng.choice([q, q.lower(), q.upper()]), "other_language": lambda: text(rng.choice([x for x in said if x != k])),
+                "refusal": lambda: say[k][1], "truncated": lambda: " ".join(a.split()[:-2])[:-1],
+            }[defect]()
+            want[i] = defect
+        rows.append((i, k, q, a))
+    resp = spark.createDataFrame(rows, "resp_id long, locale string, message string, response string")
+    dial = spark.createDataFrame([], "rec_id long, messages array<struct<role:string,content:string>>")
+    got = {r["row_key"]: r["defect"] for r in pairs.single(pairs.defects(dial, resp)).collect()}
+    for defect in pairs.DEFECTS:
+        true, found = {i for i, d in want.items() if d == defect}, {i for i, d in got.items() if d == defect}
+        assert len(true & found) >= 0.95 * len(true) and len(true & found) >= 0.98 * len(found), (defect, len(true), len(found), len(true & found))
+
+
 def test_label_model_finds_rare_class():
     patterns = {(-1, -1, -1): 9000, (1, 1, 1): 80, (1, 0, 1): 20, (-1, 1, -1): 300, (-1, 0, -1): 600}
     post = pairs.label_model(patterns)
