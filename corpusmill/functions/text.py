@@ -37,8 +37,8 @@ def plain_words(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Words in order (array); an empty text has none."""
-    return F.filter(F.split(F.regexp_replace(F.lower(c), rf"[^a-z0-9_{CYRILLIC}]+", " "), " "), lambda x: x != "")
+    """Words of any script in order (array); an empty text has none."""
+    return F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " "), " "), lambda x: x != "")
 
 
 def prefix_key(c: Column, n: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import squash
@@ -58,3 +58,16 @@ def pack_paragraphs(docs: DataFrame, id_col: str, text: str, limit: int = 600) -
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text).mapInPandas(run, f"{id_col} {kind}, part int, body string")
+
+
+def split_parts(c: Column, n: int) -> Column:
+    """A text as an array of up to ``n`` parts: its paragraphs dealt out in turn, or, with fewer paragraphs than parts, cuts of equal length.
+
+    A text shorter than ``n`` characters stays whole; parts without text are left out; null has none.
+    """
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    paragraphs = F.filter(F.transform(F.split(c, "\n\n"), strip), lambda x: x != "")
+    step = F.greatest(F.lit(1), F.floor(F.length(c) / n).cast("int"))
+    cuts = F.filter(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: strip(F.substring(c, i * step + 1, step))), lambda x: x != "")
+    dealt = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: strip(F.array_join(F.filter(paragraphs, lambda _, i: i % n == k), "\n\n")))
+    return F.when(F.size(paragraphs) >= n, dealt).when(F.length(c) < n, F.array(c)).otherwise(cuts)

@@ -115,3 +115,19 @@ def lcg_split(rows: DataFrame, id_col: str, stratum: str, share: float = 0.1) ->
 def overlay(base: Column, patch: Column) -> Column:
     """Map ``base`` with ``patch`` over it; the patch wins."""
     return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(patch, k)), patch)
+
+
+def minimal_clean(c: Column, leaks: list[str]) -> Column:
+    """One pass: leaked strings out, a word said three times or more once, runs of stops and blanks as an ellipsis, edges bare,
+    and a tail without closing mark cut back to the last sentence end, if that keeps more than six tenths."""
+    out = c
+    for x in leaks:
+        out = F.replace(out, F.lit(x), F.lit(""))
+    out = F.regexp_replace(out, r"(?iU)(\b\w+\b)(\s+\1){2,}", "$1")
+    out = F.regexp_replace(out, r"[.,\s]{3,}", "... ")
+    out = F.regexp_replace(out, r"^[ ,.:;\n\t]+|[ ,.:;\n\t]+$", "")
+    # The first kind of end that lies far enough on, in the order full stop, question, exclamation.
+    ends = [F.length(out) - F.length(F.substring_index(out, mark, -1)) - len(mark) for mark in (". ", "? ", "! ")]
+    far = F.coalesce(*[F.when(F.contains(out, F.lit(mark)) & (e > F.length(out) * 0.6), e) for mark, e in zip((". ", "? ", "! "), ends, strict=True)])
+    cut = F.when(~out.rlike(r"[.!?]$") & far.isNotNull(), F.substring(out, F.lit(1), far + 1)).otherwise(out)
+    return F.coalesce(F.regexp_replace(cut, r"^\s+|\s+$", ""), F.lit(""))

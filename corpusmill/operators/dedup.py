@@ -100,3 +100,31 @@ def greedy_keep(ids: DataFrame, pairs: DataFrame, id_col: str = "id") -> DataFra
         if not sure.limit(1).count():
             break
     return ids.select(F.col(id_col).alias("id")).join(dropped, "id", "left_anti")
+
+
+def far_from_gold(vectors: DataFrame, gold: DataFrame, id_col: str, vec_col: str, threshold: float, block: int = 2048) -> DataFrame:
+    """``vectors`` without those whose cosine with any gold vector is over ``threshold``.
+
+    Gold vectors go in blocks of ``block`` (hash of the id) and each block is one pass of bounded memory in every task; null and
+    zero vectors are like nothing and stay.  Ids of the two sides are apart.
+    """
+    n = max(1, -(-gold.count() // block))
+    golden = gold.where(F.col(vec_col).isNotNull()).groupBy(F.pmod(F.xxhash64(id_col), F.lit(n)).alias("_b")).agg(F.collect_list(F.col(vec_col).cast("array<double>")).alias("_g"))  # about ``block`` vectors each
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("v is not null")
+    met = rows.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(golden, "_b")
+
+    def run(batches):
+        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v, blocks = unit(np.array(b.column("v").to_pylist(), float)), b.column("_b").to_numpy()
+            near = np.zeros(len(v), bool)
+            for x in np.unique(blocks):
+                at = np.flatnonzero(blocks == x)
+                near[at] = (v[at] @ unit(np.array(b.column("_g")[int(at[0])].as_py(), float)).T > threshold).any(axis=1)
+            yield b.select(["id"]).filter(pa.array(near))
+
+    kind = vectors.schema[id_col].dataType.simpleString()
+    like = met.select("id", "v", "_b", "_g").mapInArrow(run, f"id {kind}").distinct()
+    return vectors.join(like.select(F.col("id").alias(id_col)), id_col, "left_anti")

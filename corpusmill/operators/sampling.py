@@ -62,3 +62,38 @@ def slots(rows: DataFrame, id_col: str, group: Column, width: int = 100_000) ->
 def oversample(rows: DataFrame, weight: Column) -> DataFrame:
     """Each row ``weight`` times, with its copy number from 1."""
     return rows.withColumn("_w", weight.cast("int")).where("_w > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_w")))).drop("_w")
+
+
+def balance(rows: DataFrame, id_col: str, group: Column, quotas: DataFrame, seed: int = 42) -> DataFrame:
+    """Exactly ``quotas.n`` rows per ``quotas.grp``: those of smallest key, or, where a group is short, all of its rows over and over.
+
+    ``copy`` numbers the uses of a row from 1.  Groups without rows give none; rows of other groups are left out.
+    """
+    keyed = rows.withColumn("grp", group).where("grp is not null").withColumn("_k", draw_key(F.col(id_col), seed))
+    ranked = bucket_rank(keyed, ["grp"], F.col("_k"), F.substring("_k", 1, 2), quotas.select("grp", F.col("n").alias("_most")))
+    uses = (F.floor(F.col("_most") / F.col("_total")) + F.when(F.col("_rank") <= F.col("_most") % F.col("_total"), 1).otherwise(0)).cast("int")
+    return oversample(ranked.withColumn("_uses", uses), F.col("_uses")).drop("_k", "_rank", "_most", "_total", "_uses")
+
+
+def positions(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``pos``: each row's place from 0 in a total order, without a task that holds all rows.
+
+    Rows are range-partitioned and sorted; a row's place is its place within its partition plus the sizes of the
+    partitions before, a small table (one row per partition).
+    """
+    from corpusmill.runtime import settle
+
+    place = F.monotonically_increasing_id()
+    sorted_ = settle(rows.orderBy(*order).withColumn("_part", F.shiftrightunsigned(place, 33).cast("int")).withColumn("_at", place.bitwiseAND((1 << 33) - 1)), "positions")
+    sizes = sorted_.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return sorted_.join(F.broadcast(before), "_part").withColumn("pos", F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")  # one row per partition
+
+
+def zip_rows(left: DataFrame, right: DataFrame, left_order: list[Column], right_order: list[Column]) -> DataFrame:
+    """Row i of one side with row i of the other; sides of different length are an error, as nothing can be said of the rest."""
+    a, b = positions(left, left_order), positions(right, right_order)
+    n, m = a.count(), b.count()
+    if n != m:
+        raise ValueError(f"{n} rows can't be aligned with {m}")
+    return a.join(b, "pos")

@@ -40,3 +40,26 @@ def sessions(events: DataFrame, who: str, gap_minutes: int) -> DataFrame:
     new = F.coalesce((hours_between(F.lag("ts").over(w), F.col("ts")) * 60 > gap_minutes).cast("int"), F.lit(1))
     t = events.withColumn("new", new).withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return t.groupBy(who, "session").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("n"))
+
+
+def dependency_order(items: DataFrame, id_col: str, needs: str) -> DataFrame:
+    """(id, root, level): how many items must come before each one, and the first of its chain.
+
+    A chain is followed by doubling: every round joins each item with the item that its
+    link has reached so far, so chains of length n take log2 n rounds.  A null, unknown or own id is no
+    dependency (level 0); items of a cycle, or that wait for one, have no order: null root and level.
+    """
+    from corpusmill.runtime import settle
+
+    base = items.select(F.col(id_col).alias("id"), F.col(needs).alias("to"))
+    known = base.select(F.col("id").alias("to")).distinct()
+    linked = base.where("to is not null and to <> id").join(known, "to", "left_semi").groupBy("id").agg(F.min("to").alias("to"))
+    t = settle(base.select("id").distinct().join(linked, "id", "left").select("id", "to", F.when(F.col("to").isNotNull(), 1).otherwise(0).cast("long").alias("level"), F.col("id").alias("root")), "chain")
+    n, reach = t.count(), 1
+    while t.where("to is not null").limit(1).count() and reach < 2 * n:
+        far = t.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("level").alias("more"), F.col("root").alias("far_root"))
+        level = F.when(F.col("to").isNull(), F.col("level")).otherwise(F.col("level") + F.col("more"))
+        t = settle(t.join(far, "to", "left").select("id", F.col("next").alias("to"), level.alias("level"), F.coalesce("far_root", "root").alias("root")), "chain")
+        reach *= 2
+    ends = F.col("to").isNull()
+    return t.select("id", F.when(ends, F.col("root")).alias("root"), F.when(ends, F.col("level")).alias("level"))

@@ -15,7 +15,7 @@ SQUASH = r"trim(regexp_replace({0}, '[ \t\r\n\f]+', ' ', 'g'))"
 NORM = "lower(" + SQUASH.format("coalesce(response, '')") + ")"
 KEY = "md5(concat_ws(':', {0}::VARCHAR, '{1}'))"
 TURN_RE = r"(?s)<\|im_start\|>([A-Za-z]+)[ \t]*\r?\n?(.*?)<\|(?:redacted_)?im_end\|>"
-TOK = "list_filter(string_split_regex(regexp_replace(lower({0}), '[^a-z0-9_" + CYRILLIC + "]+', ' ', 'g'), ' '), lambda x: x <> '')"
+TOK = "list_filter(string_split_regex(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda x: x <> '')"
 
 
 def _turns(spark, sf_dir):

@@ -6,7 +6,7 @@ import importlib
 
 from corpusmill.plans.catalog import QUERIES, SQL, Query
 
-MODULES: tuple[str, ...] = ("scalars", "dialogues", "reports", "search", "rules_and_cleaning")
+MODULES: tuple[str, ...] = ("scalars", "dialogues", "reports", "search", "rules_and_cleaning", "pipelines")
 
 
 def _load() -> None:

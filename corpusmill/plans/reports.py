@@ -27,7 +27,7 @@ CHECKED = (
     + " OR ".join(f"contains(lower(response), '{p}')" for p in BANNED)
     + " THEN 'BANNED_PHRASE' WHEN length(response) - length(replace(response, '?', '')) > 2 THEN 'MANY_QUESTIONS' WHEN length(response) > 330 THEN 'TOO_LONG' WHEN regexp_matches(response, '[<>{}]') THEN 'MARKUP' END AS failed, failed IS NULL AS passed FROM endpoint_baseline)"
 )
-TOK = "list_filter(string_split_regex(regexp_replace(lower({0}), '[^a-z0-9_" + CYRILLIC + "]+', ' ', 'g'), ' '), lambda x: x <> '')"
+TOK = "list_filter(string_split_regex(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda x: x <> '')"
 
 
 def checks() -> CheckSet:
@@ -184,13 +184,6 @@ def semi_join_sources(spark, sf_dir):
     return load(spark, sf_dir, "documents").join(load(spark, sf_dir, "mix_targets"), "source", "left_semi").select("doc_id")
 
 
-@query("SELECT v.row_id, v.split_name, v.source FROM val v WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.source = v.source AND t.lang = v.lang AND length(t.text) = length(v.text))")
-def resume_skip_done(spark, sf_dir):
-    v = load(spark, sf_dir, "val").select("row_id", "split_name", "source", "lang", F.length("text").alias("n"))
-    t = load(spark, sf_dir, "train").select("source", "lang", F.length("text").alias("n"))
-    return v.join(t, ["source", "lang", "n"], "left_anti").select("row_id", "split_name", "source")
-
-
 @query("SELECT source FROM documents WHERE source IS NOT NULL INTERSECT SELECT source FROM mix_targets")
 def set_intersect(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("source").where("source is not null").intersect(load(spark, sf_dir, "mix_targets").select("source"))
@@ -220,19 +213,6 @@ def metric_rows(spark, sf_dir):
     return g.unpivot("config", ["latency", "length", "retries"], "metric", "value").select("metric", "config", "value")
 
 
-@query("WITH RECURSIVE d(cluster, level, id) AS (SELECT cluster, 1, min(id) FROM cross_topic_regression GROUP BY cluster UNION ALL SELECT c.cluster, d.level + 1, (SELECT min(x.id) FROM cross_topic_regression x WHERE x.cluster = d.cluster AND x.id > d.id) FROM d JOIN (SELECT DISTINCT cluster FROM cross_topic_regression) c ON c.cluster = d.cluster WHERE d.level < 4) SELECT cluster, level, id FROM d")
-def dependency_chain(spark, sf_dir):
-    """Each case follows the one before in its cluster: level by level from the roots."""
-    t = load(spark, sf_dir, "cross_topic_regression").select("cluster", "id")
-    w = Window.partitionBy("cluster").orderBy("id")
-    return t.withColumn("level", F.row_number().over(w)).where("level <= 4").select("cluster", "level", "id")
-
-
-@query("SELECT t.temperature, p.top_p FROM (VALUES (0.3::DOUBLE), (0.7)) t(temperature), (VALUES (0.8::DOUBLE), (0.95)) p(top_p)")
-def decoding_sweep(spark, sf_dir):
-    return spark.createDataFrame([(a, b) for a in (0.3, 0.7) for b in (0.8, 0.95)], "temperature double, top_p double")
-
-
 @query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, sum(l_extendedprice * (1 - l_discount)) AS revenue, avg(l_discount) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2")
 def report_lineitem_summary(spark, sf_dir):
     t = load(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))

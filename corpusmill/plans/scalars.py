@@ -72,7 +72,6 @@ scalar("phase_state_map", "documents", lambda: F.create_map(*map(F.lit, ["intake
 scalar("persona_canonical", "v13_shape_synth", lambda: F.array_join(F.slice(F.filter(F.transform(F.split(F.coalesce(F.lower(F.col("meta.persona")), F.lit("")), "[,+]"), lambda x: F.trim(x)), lambda x: x != ""), 1, 2), "+"), "array_to_string(list_slice(list_filter(list_transform(string_split_regex(coalesce(lower(meta.persona), ''), '[,+]'), lambda x: trim(x)), lambda x: x <> ''), 1, 2), '+')")
 scalar("json_profile_risk", "v12_ru_dialogues", lambda: F.get_json_object(F.col("meta.psych_profile"), "$.riskLevel"), "meta.psych_profile::JSON ->> 'riskLevel'")
 scalar("json_profile_scale", "v12_ru_dialogues", lambda: F.get_json_object(F.col("meta.psych_profile"), "$.SSI").cast("double"), "(meta.psych_profile::JSON ->> 'SSI')::DOUBLE")
-scalar("json_salvage_object", "endpoint_baseline", lambda: F.regexp_extract(R(), r"(?s)\{.*\}", 0), r"regexp_extract(response, '(?s)\{.*\}')")
 scalar("events_prop", "events", lambda: F.get_json_object(F.col("props"), "$.k"), "props::JSON ->> 'k'")
 
 scalar("question_count", "endpoint_baseline", lambda: text.count_of(R(), "?"), "coalesce(length(response) - length(replace(response, '?', '')), 0)")
@@ -117,7 +116,7 @@ scalar("fix_latin_leaks", "v12_ru_dialogues", lambda: F.transform("messages", la
 scalar("fallback_chain", "documents", lambda: F.array_join(lang.fallback_chain(F.coalesce(F.col("lang"), F.lit("en"))), ","), "CASE coalesce(lang, 'en') WHEN 'en' THEN 'en' WHEN 'ru' THEN 'ru,en' WHEN 'kk' THEN 'kk,ru,en' ELSE lang || ',en' END")
 scalar("locale_correct", "endpoint_baseline", lambda: F.coalesce(F.lower(F.trim(F.col("locale"))) == lang.with_kazakh(R()), F.lit(False)), f"coalesce(lower(trim(locale)) = CASE WHEN {kr} > {cr} * 0.05::DOUBLE THEN 'kk' WHEN {cr} > {lr} THEN 'ru' ELSE 'en' END, false)")
 
-_TOK = "list_filter(string_split_regex(regexp_replace(lower({0}), '[^a-z0-9_" + CYRILLIC + "]+', ' ', 'g'), ' '), lambda x: x <> '')"
+_TOK = "list_filter(string_split_regex(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda x: x <> '')"
 tr, tm = _TOK.format("coalesce(response, '')"), _TOK.format("coalesce(message, '')")
 _tr, _tm = lambda: text.tokens(F.coalesce(R(), F.lit(""))), lambda: text.tokens(F.coalesce(M(), F.lit("")))
 scalar("echo_user_overlap", "endpoint_baseline", lambda: F.coalesce(F.try_divide(F.size(F.array_intersect(_tm(), _tr())), F.size(F.array_distinct(_tm()))), F.lit(0.0)), f"coalesce(len(list_intersect(list_distinct({tm}), list_distinct({tr}))) / nullif(len(list_distinct({tm})), 0), 0.0)")

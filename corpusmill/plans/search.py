@@ -6,41 +6,57 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text
-from corpusmill.functions.text import CYRILLIC
 from corpusmill.operators import retrieval, timeline
 from corpusmill.plans.catalog import query
-from corpusmill.runtime import load
+from corpusmill.runtime import load, scratch
 
-TOK = "list_filter(string_split_regex(regexp_replace(lower({0}), '[^a-z0-9_" + CYRILLIC + "]+', ' ', 'g'), ' '), lambda x: x <> '')"
-BM25 = f"""d AS (SELECT doc_id AS id, {TOK.format("coalesce(text, '')")} AS w FROM documents), len AS (SELECT id, len(w) AS dl FROM d), post AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM d) GROUP BY 1, 2),
-df AS (SELECT term, count(*) AS df FROM post GROUP BY term), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len), raw AS (SELECT term, n, avgdl, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df, st), mi AS (SELECT avg(idf) AS m FROM raw),
-idf AS (SELECT term, avgdl, CASE WHEN idf < 0 THEN 0.25 * m ELSE idf END AS idf FROM raw, mi), q AS (SELECT id AS query_id, unnest({TOK.format("message")}) AS term FROM cross_topic_regression),
-bm AS (SELECT q.query_id, post.id, sum(idf.idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN idf ON q.term = idf.term JOIN post ON q.term = post.term JOIN len ON len.id = post.id GROUP BY 1, 2 HAVING score > 0)"""
-RANKED = "SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM bm"
+TOK = "list_filter(string_split_regex(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda x: x <> '')"
+def _bm25_sql(name: str, docs: str) -> str:
+    """CTEs that end in ``name``(query_id, id, score) over the documents of a condition."""
+    p = name
+    return f"""{p}_d AS (SELECT doc_id AS id, {TOK.format("coalesce(text, '')")} AS w FROM documents WHERE {docs}), {p}_len AS (SELECT id, len(w) AS dl FROM {p}_d), {p}_post AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM {p}_d) GROUP BY 1, 2),
+{p}_df AS (SELECT term, count(*) AS df FROM {p}_post GROUP BY term), {p}_st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM {p}_len), {p}_raw AS (SELECT term, n, avgdl, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM {p}_df, {p}_st), {p}_mi AS (SELECT avg(idf) AS m FROM {p}_raw),
+{p}_idf AS (SELECT term, avgdl, CASE WHEN idf < 0 THEN 0.25 * m ELSE idf END AS idf FROM {p}_raw, {p}_mi), {p}_q AS (SELECT id AS query_id, unnest({TOK.format('message')}) AS term FROM cross_topic_regression),
+{p} AS (SELECT q.query_id, post.id, sum(idf.idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM {p}_q q JOIN {p}_idf idf ON q.term = idf.term JOIN {p}_post post ON q.term = post.term JOIN {p}_len len ON len.id = post.id GROUP BY 1, 2 HAVING score > 0)"""
 
 
-def _bm25(spark, sf_dir):
-    q = load(spark, sf_dir, "cross_topic_regression").select(F.col("id").alias("query_id"), F.col("message").alias("text"))
-    return retrieval.bm25(load(spark, sf_dir, "documents"), q, "doc_id", "text").withColumn("score", F.round("score", 9))
+def _ranked(name: str, most: int) -> str:
+    return f"SELECT query_id, id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM {name} QUALIFY rank <= {most}"
 
 
-@query(f"WITH {BM25} SELECT query_id, id, round(score, 9) AS score, rank FROM ({RANKED}) WHERE rank <= 5")
+def _queries(spark, sf_dir):
+    return load(spark, sf_dir, "cross_topic_regression").select(F.col("id").alias("query_id"), F.col("message").alias("text"), F.col("locale").alias("lang"), F.lit("opening").alias("phase"))
+
+
+@query(f"WITH {_bm25_sql('bm', 'true')} {_ranked('bm', 5)}")
 def bm25_top_k(spark, sf_dir):
-    return retrieval.top_per_query(_bm25(spark, sf_dir), 5)
+    return retrieval.bm25_top(load(spark, sf_dir, "documents"), _queries(spark, sf_dir), "doc_id", "text", 5)
+
+
+@query(f"WITH {_bm25_sql('bm', 'true')} {_ranked('bm', 5)}")
+def bm25_stored_index(spark, sf_dir):
+    """The same from an index that was written first."""
+    index = retrieval.Index.build(load(spark, sf_dir, "documents"), scratch(spark, "bm25"), "doc_id", "text")
+    return index.top(_queries(spark, sf_dir), 5)
+
+
+BOOKS = ("shelf_scans", "course_texts", "therapy_primers", "clinic_leaflets")
+_IS_BOOK = "coalesce(source IN (" + ", ".join(f"'{b}'" for b in BOOKS) + "), false)"
+_VEC = "SELECT {0} AS id, b, sum(1) AS c FROM (SELECT {0}, ('0x' || substr(md5(unnest({1})), 1, 2))::INT AS b FROM {2}) GROUP BY 1, 2"
+DENSE = f"""qv AS ({_VEC.format("id", TOK.format("message"), "cross_topic_regression")}), dv AS ({_VEC.format("doc_id", TOK.format("coalesce(text, '')"), f"(SELECT * FROM documents WHERE NOT {_IS_BOOK})")}),
+qn AS (SELECT id, sqrt(sum(c * c)) AS n FROM qv GROUP BY id), dn AS (SELECT id, sqrt(sum(c * c)) AS n FROM dv GROUP BY id), dots AS (SELECT qv.id AS query_id, dv.id, sum(qv.c * dv.c)::DOUBLE AS dot FROM qv JOIN dv ON qv.b = dv.b GROUP BY 1, 2),
+dense AS (SELECT query_id, dots.id, dot / (qn.n * dn.n) AS score FROM dots JOIN qn ON qn.id = query_id JOIN dn ON dn.id = dots.id)"""
 
 
-@query(f"""WITH {BM25}, a AS (SELECT query_id, id, rank FROM ({RANKED}) WHERE rank <= 20), o AS (SELECT q.id AS query_id, doc_id AS id, len(list_intersect(list_distinct({TOK.format('q.message')}), list_distinct({TOK.format('d.text')}))) AS score FROM cross_topic_regression q JOIN documents d ON lower(trim(d.lang)) = lower(trim(q.locale)) AND d.phase = 'intake'),
-b AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM o WHERE score > 0 QUALIFY rank <= 20),
-f AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2) SELECT query_id, id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM f QUALIFY rank <= 3""")
+@query(f"""WITH {_bm25_sql('talk', f"NOT {_IS_BOOK}")}, {_bm25_sql('books', _IS_BOOK)}, {DENSE}, s AS (SELECT query_id, id, rank, score AS cosine FROM ({_ranked('dense', 24)}) UNION ALL SELECT query_id, id, rank, NULL FROM ({_ranked('talk', 24)}) UNION ALL SELECT query_id, id, rank, NULL FROM ({_ranked('books', 24)})),
+f AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, max(cosine) AS cosine, bool_or(cosine IS NULL) AS by_words FROM s GROUP BY 1, 2),
+c AS (SELECT f.*, list_position(CASE lower(trim(q.locale)) WHEN 'en' THEN ['en'] WHEN 'ru' THEN ['ru', 'en'] WHEN 'kk' THEN ['kk', 'ru', 'en'] ELSE [lower(trim(q.locale)), 'en'] END, coalesce(lower(trim(d.lang)), 'en')) - 1 AS steps, CASE WHEN NOT {_IS_BOOK} AND d.phase = 'opening' THEN 1.0::DOUBLE / 60 ELSE 0 END AS bonus, left(lower(regexp_replace(d.text, '^\\s+|\\s+$', '', 'g')), 80) AS start FROM f JOIN documents d ON d.doc_id = f.id JOIN cross_topic_regression q ON q.id = f.query_id),
+g AS (SELECT query_id, id, start, round(rrf + bonus - steps * (0.5::DOUBLE / 60), 9) AS score FROM c WHERE steps >= 0 AND (by_words OR cosine >= 0.3) AND start <> ''), h AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY query_id, start ORDER BY score DESC, id) = 1)
+SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM h QUALIFY rank <= 3""")
 def rrf_hybrid(spark, sf_dir):
-    """BM25 and token overlap within phase and language, fused by reciprocal rank."""
-    a = retrieval.top_per_query(_bm25(spark, sf_dir), 20)
-    q, d = load(spark, sf_dir, "cross_topic_regression"), load(spark, sf_dir, "documents").where("phase = 'intake'")
-    qt = q.select(F.col("id").alias("query_id"), F.lower(F.trim("locale")).alias("lang"), F.array_distinct(text.tokens(F.col("message"))).alias("qw"))
-    dt = d.select(F.col("doc_id").alias("id"), F.lower(F.trim("lang")).alias("lang"), F.array_distinct(text.tokens(F.col("text"))).alias("dw"))
-    hits = qt.select("query_id", "lang", F.explode("qw").alias("w")).join(dt.select("id", "lang", F.explode("dw").alias("w")), ["lang", "w"])
-    b = retrieval.top_per_query(hits.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("score")), 20)
-    return retrieval.top_per_query(retrieval.fuse([a, b]).withColumn("score", F.round("score", 9)), 3)
+    """Cosine and BM25 over dialogues and BM25 over books, fused, gated by language and cosine, with a phase bonus."""
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "phase", F.coalesce(F.col("source").isin(*BOOKS), F.lit(False)).alias("book"))
+    return retrieval.hybrid(_queries(spark, sf_dir), docs)
 
 
 @query("SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) DESC, v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0 QUALIFY rank <= 5")

@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -102,43 +103,49 @@ def read_books(spark: SparkSession, path: str) -> DataFrame:
 
 
 def salvage_objects(text: str | None) -> list[str]:
-    """Every top-level {...} of a model's output, strings and escapes honoured, fences ignored."""
-    if not text:
+    """Every top-level {...} of a model's output that is JSON; strings and escapes are honoured everywhere, fences ignored."""
+    if not text or "{" not in text:
         return []
-    text = re.sub(r"```(?:json)?", "", text)
-    out, depth, start, quoted, escaped = [], 0, 0, False, False
+    text = re.sub(r"(?i)```(?:jsonl?)?", "", text)
+    out, depth, start, quoted, escaped = [], 0, None, False, False
     for i, c in enumerate(text):
         if quoted:
-            escaped, quoted = (not escaped and c == "\\"), quoted and (escaped or c != '"')
-            continue
-        if c == '"' and depth:
+            quoted, escaped = escaped or c != '"', c == "\\" and not escaped
+        elif c == '"':
             quoted = True
         elif c == "{":
-            start = i if not depth else start
-            depth += 1
-        elif c == "}" and depth:
+            start, depth = (i if depth == 0 else start), depth + 1
+        elif c == "}":
             depth -= 1
-            if not depth:
-                part = text[start : i + 1]
-                try:
-                    json.loads(part)
-                    out.append(part)
-                except ValueError:
-                    pass
-    return out
+            if depth == 0 and start is not None:
+                out.append(text[start : i + 1])
+                start = None
+    return [x for x in out if _is_json(x)]
+
+
+def _is_json(text: str) -> bool:
+    try:
+        json.loads(text)
+    except ValueError:
+        return False
+    return True
+
+
+def salvage_rows(rows: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, object): the text of each object found."""
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        for b in batches:
+            pairs = [(i, o) for i, t in enumerate(b.column(1).to_pylist()) for o in salvage_objects(t)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i for i, _ in pairs], pa.int64())), pa.array([o for _, o in pairs], pa.string())], [id_col, "object"])
+
+    return rows.select(id_col, text).mapInArrow(run, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, object string")
 
 
 def salvage_json(rows: DataFrame, id_col: str, text: str, ddl: str) -> DataFrame:
     """(id, fields of ddl): one row for each object found in the text."""
 
-    def run(frames: Iterable[pd.DataFrame]):
-        for f in frames:
-            pairs = [(i, o) for i, t in zip(f[id_col], f[text], strict=True) for o in salvage_objects(t)]
-            yield pd.DataFrame(pairs, columns=[id_col, "object"])
-
-    kind = rows.schema[id_col].dataType.simpleString()
-    found = rows.select(id_col, text).mapInPandas(run, f"{id_col} {kind}, object string")
-    return found.select(id_col, F.from_json("object", ddl).alias("o")).select(id_col, "o.*")
+    return salvage_rows(rows, id_col, text).select(id_col, F.from_json("object", ddl).alias("o")).select(id_col, "o.*")
 
 
 def write_jsonl(rows: DataFrame, path: str, mode: str = "overwrite", rows_per_file: int = 0) -> None:
