@@ -63,7 +63,7 @@ def pack_paragraphs(docs: DataFrame, id_col: str, text: str, limit: int = 600) -
 def split_parts(c: Column, n: int) -> Column:
     """A text as an array of up to ``n`` parts: its paragraphs dealt out in turn, or, with fewer paragraphs than parts, cuts of equal length.
 
-    A text shorter than ``n`` characters stays whole; parts without text are left out; null has none.
+    A text shorter than ``n`` characters stays whole; parts without text are left out; null gives an empty array.
     """
     strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
     paragraphs = F.filter(F.transform(F.split(c, "\n\n"), strip), lambda x: x != "")

@@ -46,3 +46,18 @@ def explode_reasons(rows: DataFrame, reasons: str, categories: list[str]) -> Dat
     got = rows.select(F.explode(reasons).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
     dim = rows.sparkSession.createDataFrame([(c,) for c in categories], "reason string")
     return dim.join(got, "reason", "left").select("reason", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def percentiles(rows: DataFrame, group: str, value: str, shares: list[float], accuracy: int | None = None) -> DataFrame:
+    """(group, n, least, p50 ..., most): percentiles per group, nulls left out.
+
+    Exact ones keep the distinct values of a group together (equal values are counted before the shuffle); with
+    ``accuracy`` they come from a sketch of bounded size, off by n / accuracy ranks at most.
+    """
+    names = [f"p{round(s * 100)}" for s in shares]
+    if accuracy is not None:
+        cut = [F.percentile_approx(value, s, accuracy).alias(k) for s, k in zip(shares, names, strict=True)]
+        return rows.groupBy(group).agg(F.count(value).alias("n"), F.min(value).alias("least"), *cut, F.max(value).alias("most"))
+    counted = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
+    cut = [F.percentile(value, s, F.col("_n")).alias(k) for s, k in zip(shares, names, strict=True)]
+    return counted.groupBy(group).agg(F.coalesce(F.sum(F.when(F.col(value).isNotNull(), F.col("_n"))), F.lit(0)).alias("n"), F.min(value).alias("least"), *cut, F.max(value).alias("most"))

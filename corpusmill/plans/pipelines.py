@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corpusmill.operators import chunking, cleaning, dedup, evaluation, retrieval, sampling, timeline
+from corpusmill.operators import chunking, cleaning, dedup, sampling, timeline
 from corpusmill.plans.catalog import query
 from corpusmill.plans.search import TOK
 from corpusmill.runtime import load, scratch
 from corpusmill.sources import files
+from corpusmill.streaming import events
 
 R = lambda: F.col("response")
 
@@ -338,3 +339,28 @@ def markdown_report(spark, sf_dir):
     t = load(spark, sf_dir, "endpoint_baseline").where("config is not null").groupBy("config").agg(F.count(F.lit(1)).alias("n"))
     lines = files.report_markdown(t, "Answers").split("\n")
     return spark.createDataFrame([("report", lines[0], sum(x.startswith("| ") for x in lines))], "name string, title string, n_rows long")
+
+
+# --- streams, worked off to the end of the source ---
+def _stream(spark, sf_dir):
+    """The event table as a stream; a folder of part files streams file by file."""
+    return events.read_events(spark, sf_dir, pattern="events.parquet")
+
+
+@query("SELECT event_id, event_type FROM (SELECT DISTINCT event_id, event_type FROM events)")
+def stream_first_deliveries(spark, sf_dir):
+    return events.run_once(events.first_deliveries(_stream(spark, sf_dir)), scratch(spark, "stream")).select("event_id", "event_type")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+def stream_hourly(spark, sf_dir):
+    """Hours that the watermark has closed."""
+    t = events.run_once(events.hourly(_stream(spark, sf_dir)), scratch(spark, "stream"))
+    return t.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("WITH s AS (SELECT user_id, lag(event_type) OVER w AS \"from\", event_type AS \"to\", ts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type)) SELECT user_id, \"from\", \"to\", ts, false AS late FROM s WHERE \"from\" <> \"to\" AND NOT (\"from\" = 'view' AND \"to\" IN ('click', 'purchase'))")
+def stream_transition_alerts(spark, sf_dir):
+    """Steps other than from a view to a click or purchase, each user's last event kept as state."""
+    t = events.run_once(events.transition_alerts(_stream(spark, sf_dir), {("view", "click"), ("view", "purchase")}), scratch(spark, "stream"))
+    return t.withColumn("ts", F.col("ts").cast("timestamp_ntz"))

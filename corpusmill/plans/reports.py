@@ -127,8 +127,17 @@ def adjacent_config_delta(spark, sf_dir):
 
 @query("SELECT config, count(latency_s) AS n, min(latency_s) AS least, quantile_cont(latency_s, 0.5) AS p50, quantile_cont(latency_s, 0.9) AS p90, max(latency_s) AS most FROM endpoint_baseline WHERE config IS NOT NULL GROUP BY config")
 def latency_stats(spark, sf_dir):
-    """Exact percentiles; at cluster scale ``approx_percentile`` bounds the state per group."""
-    return load(spark, sf_dir, "endpoint_baseline").where("config is not null").groupBy("config").agg(F.count("latency_s").alias("n"), F.min("latency_s").alias("least"), F.percentile("latency_s", 0.5).alias("p50"), F.percentile("latency_s", 0.9).alias("p90"), F.max("latency_s").alias("most"))
+    """Exact percentiles; ``percentiles`` takes an accuracy where groups are too large for them."""
+    return evaluation.percentiles(load(spark, sf_dir, "endpoint_baseline").where("config is not null"), "config", "latency_s", [0.5, 0.9])
+
+
+@query("SELECT config, count(latency_s) AS n, true AS near FROM endpoint_baseline WHERE config IS NOT NULL GROUP BY config")
+def latency_sketch(spark, sf_dir):
+    """Percentiles of bounded state: whether each lies between the exact ones a hundredth to either side."""
+    t = load(spark, sf_dir, "endpoint_baseline").where("config is not null")
+    exact = evaluation.percentiles(t, "config", "latency_s", [0.49, 0.51, 0.89, 0.91]).drop("least", "most", "n")
+    got = evaluation.percentiles(t, "config", "latency_s", [0.5, 0.9], 1000).join(exact, "config")
+    return got.select("config", "n", (F.col("p50").between(F.col("p49"), F.col("p51")) & F.col("p90").between(F.col("p89"), F.col("p91"))).alias("near"))
 
 
 @query("SELECT CASE WHEN n BETWEEN 2 AND 4 THEN n::VARCHAR ELSE 'other' END AS bucket, count(*) AS n_rows FROM (SELECT greatest(len(regexp_extract_all(response, '[^.!?]+[.!?]+')), 1) AS n FROM endpoint_baseline WHERE response IS NOT NULL) GROUP BY 1")

@@ -79,27 +79,28 @@ def phase_limits(spark, sf_dir):
 
 
 def _drafts(spark, sf_dir):
-    """One nested draft per user: times, labels and values of the latest five events."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    e = load(spark, sf_dir, "events").withColumn("r", F.row_number().over(w)).where("r <= 5")
-    g = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type", "value"))).alias("a"))  # five rows per user
-    return g.select("user_id", F.transform("a", lambda x: x["ts"]).alias("times"), F.transform("a", lambda x: x["event_type"]).alias("labels"), F.transform("a", lambda x: x["value"]).alias("vals"))
-
-
-@query("""WITH d AS (SELECT user_id, list(date_trunc('second', ts) ORDER BY ts, event_id) AS times, list(event_type ORDER BY ts, event_id) AS labels, list(value ORDER BY ts, event_id) AS vals FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5) GROUP BY user_id)
-SELECT user_id, CASE WHEN len(list_filter(labels, lambda x: x NOT IN ('view', 'click', 'purchase', 'error'))) > 0 THEN 'KNOWN_LABELS' WHEN len(times) < 3 THEN 'ENOUGH_CITES' WHEN len(list_distinct(list_transform(times, lambda t: t::DATE))) < 2 THEN 'DISTINCT_DAYS'
-WHEN date_diff('second', list_min(times), list_max(times)) / 3600.0 < 24 THEN 'SPAN' WHEN list_contains(labels, 'error') AND list_contains(labels, 'purchase') THEN 'COOCCUR' WHEN vals[-1] > list_max(vals[1:len(vals) - 1]) THEN 'MAX_INTENSITY' END AS rule FROM d""")
+    """One draft per user over all of its events: counts, days, span, labels, and whether the last event tops all before."""
+    e = load(spark, sf_dir, "events").withColumn("ts", F.date_trunc("second", "ts").cast("timestamp_ntz"))
+    last = F.max_by("event_id", F.struct("ts", "event_id"))
+    top = F.max_by("event_id", F.struct("value", -F.unix_micros(F.col("ts").cast("timestamp")), -F.col("event_id")))  # the first of the largest values
+    return e.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct(F.to_date("ts")).alias("n_days"), (F.timestamp_diff("SECOND", F.min("ts"), F.max("ts")) / 3600.0).alias("hours"),
+        F.collect_set("event_type").alias("labels"), (last == top).alias("tops"),  # the vocabulary of labels bounds the set
+    )
+
+
+@query("""WITH d AS (SELECT user_id, list(date_trunc('second', ts) ORDER BY ts, event_id) AS times, list(event_type ORDER BY ts, event_id) AS labels, list(value ORDER BY date_trunc('second', ts), event_id) AS vals FROM events GROUP BY user_id)
+SELECT user_id, CASE WHEN len(list_filter(labels, lambda x: x NOT IN ('view', 'click', 'purchase', 'error', 'signup'))) > 0 THEN 'KNOWN_LABELS' WHEN len(times) < 3 THEN 'ENOUGH_CITES' WHEN len(list_distinct(list_transform(times, lambda t: t::DATE))) < 2 THEN 'DISTINCT_DAYS'
+WHEN date_diff('second', list_min(times), list_max(times)) / 3600.0 < 24 THEN 'SPAN' WHEN list_contains(labels, 'error') AND list_contains(labels, 'purchase') AND NOT list_contains(labels, 'signup') THEN 'COOCCUR' WHEN vals[-1] > list_max(vals[1:len(vals) - 1]) THEN 'MAX_INTENSITY' END AS rule FROM d""")
 def rule_first_violation(spark, sf_dir):
-    """Nested rules in order of precedence over drafts built from events."""
+    """Rules in order of precedence over drafts built from all events."""
     found = RuleSet(
-        Rule("KNOWN_LABELS", "block", True, "label outside the vocabulary", ~rules.all_known(F.col("labels"), ["view", "click", "purchase", "error"])),
-        Rule("ENOUGH_CITES", "block", True, "under three citations", F.size("times") < 3),
-        Rule("DISTINCT_DAYS", "block", True, "one day only", rules.distinct_days(F.col("times")) < 2),
-        Rule("SPAN", "block", True, "under a day of evidence", rules.span_hours(F.transform("times", lambda t: F.date_trunc("second", t).cast("timestamp_ntz"))) < 24),
-        Rule("COOCCUR", "block", False, "labels that exclude each other", F.array_contains("labels", "error") & F.array_contains("labels", "purchase")),
-        Rule("MAX_INTENSITY", "warn", True, "above anything cited", F.element_at("vals", -1) > F.array_max(F.slice("vals", F.lit(1), F.size("vals") - 1))),
+        Rule("KNOWN_LABELS", "block", True, "label outside the vocabulary", ~rules.all_known(F.col("labels"), ["view", "click", "purchase", "error", "signup"])),
+        Rule("ENOUGH_CITES", "block", True, "under three citations", F.col("n") < 3),
+        Rule("DISTINCT_DAYS", "block", True, "one day only", F.col("n_days") < 2),
+        Rule("SPAN", "block", True, "under a day of evidence", F.col("hours") < 24),
+        Rule("COOCCUR", "block", False, "labels that exclude each other", F.array_contains("labels", "error") & F.array_contains("labels", "purchase") & ~F.array_contains("labels", "signup")),
+        Rule("MAX_INTENSITY", "warn", True, "above anything cited", F.col("tops")),
     )
     return found.apply(_drafts(spark, sf_dir)).select("user_id", F.col("violation.rule").alias("rule"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text
 from corpusmill.operators import retrieval, timeline
 from corpusmill.plans.catalog import query
-from corpusmill.runtime import load, scratch
+from corpusmill.runtime import block_join, load, scratch
 
 TOK = "list_filter(string_split_regex(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda x: x <> '')"
 def _bm25_sql(name: str, docs: str) -> str:
@@ -78,7 +78,8 @@ SELECT query_id, state, CASE state WHEN 'fully' THEN nf WHEN 'partially' THEN np
 def evidence_sufficiency(spark, sf_dir):
     v = load(spark, sf_dir, "embeddings")
     q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), "label")
-    s = q.join(v, "label").where("query_id <> vec_id").select("query_id", retrieval.cosine(F.col("qv"), F.col("embedding")).alias("score"), (F.col("label") != 3).alias("consented"), (F.col("vec_id") > 100).alias("recent"))
+    # A label may hold a third of all vectors: its join is cut into blocks.
+    s = block_join(q, v, ["label"], F.col("query_id"), F.col("vec_id"), 20_000).where("query_id <> vec_id").select("query_id", retrieval.cosine(F.col("qv"), F.col("embedding")).alias("score"), (F.col("label") != 3).alias("consented"), (F.col("vec_id") > 100).alias("recent"))
     return retrieval.sufficiency(s, 0.3, 0.2).withColumn("similarity", F.round("similarity", 9))
 
 
@@ -140,12 +141,12 @@ def monotone_trend(spark, sf_dir):
     return g.select("user_id", timeline.monotone(F.transform("a", lambda x: x["value"])).alias("trend"))
 
 
-@query("SELECT user_id, count(*) AS n, count(DISTINCT date_trunc('day', ts)) AS n_days, date_diff('second', min(ts), max(ts)) / 3600.0 AS span_hours, count(*) >= 3 AND count(DISTINCT date_trunc('day', ts)) >= 2 AND date_diff('second', min(ts), max(ts)) / 3600.0 >= 0.7 * 336 AS supported FROM (SELECT user_id, date_trunc('second', ts) AS ts FROM events WHERE event_type = 'purchase') GROUP BY user_id")
+@query("SELECT user_id, event_type, count(*) AS n, count(DISTINCT date_trunc('day', ts)) AS n_days, date_diff('second', min(ts), max(ts)) / 3600.0 AS span_hours, count(*) >= 3 AND count(DISTINCT date_trunc('day', ts)) >= 2 AND date_diff('second', min(ts), max(ts)) / 3600.0 >= 0.7 * 336 AS supported FROM (SELECT user_id, event_type, date_trunc('second', ts) AS ts FROM events) GROUP BY user_id, event_type")
 def span_coverage(spark, sf_dir):
-    e = _events(spark, sf_dir).where("event_type = 'purchase'").select("user_id", F.date_trunc("second", "ts").cast("timestamp_ntz").alias("ts"))
+    e = _events(spark, sf_dir).select("user_id", "event_type", F.date_trunc("second", "ts").cast("timestamp_ntz").alias("ts"))
     span = timeline.hours_between(F.min("ts"), F.max("ts"))
     days = F.count_distinct(F.date_trunc("day", "ts"))
-    return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), days.alias("n_days"), span.alias("span_hours"), ((F.count(F.lit(1)) >= 3) & (days >= 2) & (span >= 0.7 * 336)).alias("supported"))
+    return e.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), days.alias("n_days"), span.alias("span_hours"), ((F.count(F.lit(1)) >= 3) & (days >= 2) & (span >= 0.7 * 336)).alias("supported"))
 
 
 @query("SELECT user_id, event_type, count(*) AS n, max(ts) AS latest FROM events WHERE ts > TIMESTAMP '2024-01-16 00:00:00' AND ts <= TIMESTAMP '2024-01-30 00:00:00' GROUP BY user_id, event_type")
