@@ -59,6 +59,8 @@ def sentences(text: str) -> list[str]:
 def counts(texts, held: tuple[Counter, Counter, Counter] | None = None) -> tuple[Counter, Counter, Counter]:
     """(ends, goes on, unmarked last lines) by key of the texts, added to ``held``."""
     end, on, last = held = held or (Counter(), Counter(), Counter())
+    goes: list[str] = []
+    stops: list[str] = []
     for text in texts:
         if not text:
             continue
@@ -70,20 +72,17 @@ def counts(texts, held: tuple[Counter, Counter, Counter] | None = None) -> tuple
             if k == len(parts) - 1 and not _END.search(s):
                 last[" ".join(w)] += 1
                 continue
-            start = " ".join(w[:2])
-            for i, x in enumerate(w[:-1]):
-                on[x] += 1
-                if i:
-                    on[f"{start}|{x}"] += 1
-                    on[f"{w[i - 1]}>{x}"] += 1
-                else:
-                    on[f"|{x}"] += 1
-            end[w[-1]] += 1
-            if len(w) > 1:
-                end[f"{start}|{w[-1]}"] += 1
-                end[f"{w[-2]}>{w[-1]}"] += 1
-            else:
-                end[f"|{w[0]}"] += 1
+            if len(w) == 1:
+                stops += w[0], f"|{w[0]}"
+                continue
+            body, start = w[:-1], f"{w[0]} {w[1]}|"
+            goes += body
+            goes.append(f"|{w[0]}")
+            goes += [start + x for x in body[1:]]
+            goes += map(">".join, zip(body, body[1:], strict=False))
+            stops += w[-1], start + w[-1], f"{w[-2]}>{w[-1]}"
+    on.update(goes)
+    end.update(stops)
     return held
 
 
