@@ -1,72 +1,63 @@
-"""Exact vector search of a stated query set against all vectors, in blocks."""
+"""Exact vector search of a stated query set against all vectors, in blocks of queries."""
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Queries per block; a block of 64-dimensional doubles is about 1 MB.
-BLOCK = 2048
+from corpusmill.operators import retrieval
+from corpusmill.operators.retrieval import ROWS
+from corpusmill.runtime import settle
 
 
-def _best(k: int):
-    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+#: Queries per block at most, besides MATRIX_CELLS numbers.
+BLOCK = 100_000
 
-    def run(batches):
-        """Per Arrow batch of (block of queries, vectors), the k best per query."""
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids = b.column("id").to_numpy()
-            v = np.array(b.column("v").to_pylist(), float)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            block = b.column("block")[0].as_py()
-            q_ids = np.array([x["id"] for x in block])
-            q = np.array([x["v"] for x in block], float)
-            q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-            sim = np.round(q @ v.T, 9)
-            sim[q_ids[:, None] == ids[None, :]] = -np.inf
-            n = min(k, len(ids))
-            out = [(int(a), int(ids[j]), float(sim[i, j])) for i, a in enumerate(q_ids) for j in np.lexsort((ids, -sim[i]))[:n] if sim[i, j] > -np.inf]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], f.type) for c, f in enumerate(schema)], schema=schema)
 
-    return run
+def _matrix(column) -> np.ndarray:
+    """Unit vectors of a list column without nulls; zero vectors stay zero."""
+    n = len(column)
+    v = column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1))
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
     """(query_id, id, score, rank): the k most similar other vectors of each query, ties by id.
 
-    Query blocks are sent to the Python workers as broadcast data of BLOCK vectors
-    each; each task keeps k per query, so little is shuffled.  Null vectors match
-    nothing; vectors of another length are an error.
+    A block of queries is a matrix of at most MATRIX_CELLS cells, the most that reaches the driver at a time and is
+    broadcast; each block is one scan of the vectors, in which every task keeps k per query, so little is shuffled.  The bests of a
+    block are written before the next one starts.  Null vectors match nothing; vectors of another length are an error.
     """
-    from pyspark.sql import Window
-
     spark = vectors.sparkSession
-    every = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    asked = queries.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    n_blocks = max(1, -(-asked.count() // BLOCK))
+    of = lambda df: df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    every, asked = of(vectors), of(queries)
+    n, width = asked.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    if not n:
+        return spark.createDataFrame([], "query_id long, id long, score double, rank int")
+    n_blocks = max(-(-n // BLOCK), -(-n * max(width, 1) // retrieval.MATRIX_CELLS))
     parts = None
     for i in range(n_blocks):
-        block = asked.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == i).collect()  # about BLOCK rows
-        if not block:
-            continue
-        sent = spark.sparkContext.broadcast([{"id": r["id"], "v": list(r["v"])} for r in block])
-
-        def run(batches, sent=sent):
-            def with_block():
-                for b in batches:
-                    kind = pa.list_(pa.struct([("id", pa.int64()), ("v", pa.list_(pa.float64()))]))
-                    first = pa.array([sent.value] + [None] * (b.num_rows - 1), kind) if b.num_rows else pa.array([], kind)
-                    yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), first], ["id", "v", "block"])
-
-            yield from _best(k)(with_block())
-
-        part = every.mapInArrow(run, "query_id long, id long, score double")
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        return spark.createDataFrame([], "query_id long, id long, score double, rank int")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        block = asked.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == i).toArrow().combine_chunks()
+        ids = block.column("id").to_numpy()
+        shared = spark.sparkContext.broadcast((ids, _matrix(block.column("v").combine_chunks())))
+
+        def run(batches, shared=shared):
+            q_ids, q = shared.value
+            add, rows = retrieval._keep_best(k, len(q_ids))
+            for batch in batches:
+                for s in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(s, ROWS)
+                    found = part.column("id").to_numpy()
+                    scores = np.round(_matrix(part.column("v")) @ q.T, 9)
+                    add(found, np.where(found[:, None] == q_ids[None, :], -np.inf, scores))
+            at, found, scores = rows()
+            yield retrieval._best_batch(at, found, scores)
+
+        names = spark.createDataFrame(list(enumerate(ids.tolist())), "at int, query_id long")
+        best = every.mapInArrow(run, retrieval._BEST).join(F.broadcast(names), "at").select("query_id", "id", "score")  # one block of queries
+        if n_blocks > 1:
+            best = settle(best, "best-of-block")
+            shared.unpersist()
+        parts = best if parts is None else parts.unionByName(best)
+    return retrieval.top_per_query(parts, k)

@@ -271,6 +271,61 @@ def greedy_dedup_with_gold(spark, sf_dir):
     return dedup.greedy_keep(rest, dedup.similar_pairs(rest, "vec_id", "embedding", 0.3), "vec_id").withColumnRenamed("id", "vec_id")
 
 
+# --- dialogues made by models ---
+_ROLES = "list_transform(messages, lambda m: m.role)"
+
+
+@query(f"SELECT rec_id, CASE WHEN messages IS NULL OR len(messages) = 0 THEN 'no_messages' WHEN messages[1].role <> 'user' THEN 'user_first' WHEN len(list_filter(range(2, len(messages) + 1), lambda i: messages[i].role = messages[i - 1].role)) > 0 THEN 'roles_alternate' WHEN len(messages) % 2 = 1 THEN 'answer_missing' WHEN len(list_filter(messages, lambda m: coalesce(trim(m.content), '') = '')) > 0 THEN 'blank_message' WHEN len(list_distinct(list_transform(messages, lambda m: lower(trim(m.content))))) < len(messages) THEN 'repeated_message' WHEN len(list_filter(messages, lambda m: m.role = 'assistant' AND length(m.content) > 600)) > 0 THEN 'too_long' ELSE 'ok' END AS verdict FROM v13_shape_synth")
+def validate_synthetic(spark, sf_dir):
+    """The first rule that a generated dialogue breaks: order of roles, blanks, repeats, length."""
+    m = F.col("messages")
+    n = F.size(m)
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.get(m, i)["role"] == F.get(m, i - 1)["role"])
+    said = F.transform(m, lambda x: F.lower(F.trim(x["content"])))
+    verdict = (
+        F.when(m.isNull() | (n == 0), "no_messages").when(m[0]["role"] != "user", "user_first").when((n > 1) & F.exists(pairs, lambda x: F.coalesce(x, F.lit(False))), "roles_alternate")
+        .when(n % 2 == 1, "answer_missing").when(F.exists(m, lambda x: F.coalesce(F.trim(x["content"]), F.lit("")) == ""), "blank_message").when(F.size(F.array_distinct(said)) < n, "repeated_message")
+        .when(F.exists(m, lambda x: (x["role"] == "assistant") & (F.length(x["content"]) > 600)), "too_long").otherwise("ok")
+    )
+    return load(spark, sf_dir, "v13_shape_synth").select("rec_id", verdict.alias("verdict"))
+
+
+@query("SELECT rec_id, 'Language: ' || coalesce(nullif(lower(trim(meta.locale)), ''), 'en') || chr(10) || 'Persona: ' || coalesce(nullif(lower(trim(meta.persona)), ''), 'flexible') || chr(10) || 'Shape: ' || coalesce(shape, 'any') || chr(10) || 'Write ' || coalesce(len(messages), 2) // 2 || ' exchange(s).' AS prompt FROM v13_shape_synth")
+def task_prompt(spark, sf_dir):
+    """The prompt of a worker's task, filled from the record's fields with their defaults."""
+    field = lambda k, default: F.coalesce(F.nullif(F.lower(F.trim(f"meta.{k}")), F.lit("")), F.lit(default))
+    n = F.floor(F.when(F.col("messages").isNull(), 2).otherwise(F.size("messages")) / 2).cast("string")
+    lines = F.concat_ws("\n", F.concat(F.lit("Language: "), field("locale", "en")), F.concat(F.lit("Persona: "), field("persona", "flexible")), F.concat(F.lit("Shape: "), F.coalesce("shape", F.lit("any"))), F.concat(F.lit("Write "), n, F.lit(" exchange(s).")))
+    return load(spark, sf_dir, "v13_shape_synth").select("rec_id", lines.alias("prompt"))
+
+
+@query("WITH m AS (SELECT author_id, unnest(list_filter(messages, lambda m: m.role = 'user' AND m.content IS NOT NULL)).content AS c FROM v12_ru_dialogues) SELECT author_id, count(*) AS n, round(avg(length(c)), 9) AS mean_length, sum(length(c) - length(replace(c, '?', '')))::BIGINT AS asks, sum(length(c) - length(replace(c, '!', '')))::BIGINT AS shouts, CASE WHEN avg(length(c)) < 80 THEN 'brief' WHEN avg(length(c)) > 300 THEN 'long' ELSE 'medium' END AS style FROM m GROUP BY author_id")
+def communication_style(spark, sf_dir):
+    """How each author writes: length, questions, exclamations."""
+    t = load(spark, sf_dir, "v12_ru_dialogues").select("author_id", F.explode("messages").alias("m")).where("m.role = 'user' and m.content is not null").select("author_id", F.col("m.content").alias("c"))
+    count = lambda mark: F.sum(F.length("c") - F.length(F.replace("c", F.lit(mark), F.lit("")))).cast("long")
+    mean = F.avg(F.length("c"))
+    return t.groupBy("author_id").agg(F.count(F.lit(1)).alias("n"), F.round(mean, 9).alias("mean_length"), count("?").alias("asks"), count("!").alias("shouts"), F.when(mean < 80, "brief").when(mean > 300, "long").otherwise("medium").alias("style"))
+
+
+@query("WITH c AS (SELECT md5(lower(trim(message)) || '|' || coalesce(lower(trim(locale)), 'en')) AS key, min_by(response, resp_id) AS cached FROM endpoint_baseline WHERE response IS NOT NULL AND message IS NOT NULL GROUP BY 1) SELECT t.id, c.key IS NOT NULL AS hit, coalesce(c.cached, t.message) AS text FROM cross_topic_regression t LEFT JOIN c ON c.key = md5(lower(trim(t.message)) || '|' || coalesce(lower(trim(t.locale)), 'en'))")
+def cached_or_given(spark, sf_dir):
+    """What a cache keyed by text and language holds for each case, else the case's own text."""
+    key = F.md5(F.concat(F.lower(F.trim("message")), F.lit("|"), F.coalesce(F.lower(F.trim("locale")), F.lit("en"))))
+    cache = load(spark, sf_dir, "endpoint_baseline").where("response is not null and message is not null").groupBy(key.alias("key")).agg(F.min_by("response", "resp_id").alias("cached"))
+    t = load(spark, sf_dir, "cross_topic_regression").select("id", "message", key.alias("k"))
+    return t.join(cache, F.col("k") == F.col("key"), "left").select("id", F.col("key").isNotNull().alias("hit"), F.coalesce("cached", "message").alias("text"))
+
+
+@query("SELECT user_id, event_type, event_type || ' ' || count(*) || ' time(s), ' || strftime(min(ts), '%Y-%m-%d') || ' to ' || strftime(max(ts), '%Y-%m-%d') || CASE WHEN count(*) >= 3 THEN ', often' ELSE '' END AS claim FROM events GROUP BY user_id, event_type")
+def claim_text(spark, sf_dir):
+    """A claim of each user's events as a sentence with its evidence."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    n = F.count(F.lit(1))
+    t = load(spark, sf_dir, "events").groupBy("user_id", "event_type")
+    return t.agg(F.concat(F.col("event_type"), F.lit(" "), n.cast("string"), F.lit(" time(s), "), day(F.min("ts")), F.lit(" to "), day(F.max("ts")), F.when(n >= 3, ", often").otherwise("")).alias("claim"))
+
+
 # --- written and read back ---
 _RESP = "resp_id long, id string, config string, message string, response string"
 _RESP_SQL = "SELECT resp_id, id, config, message, response FROM endpoint_baseline"
