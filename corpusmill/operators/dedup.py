@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.runtime import settle
+from corpusmill.functions.text import tokens
+from corpusmill.runtime import block_join, salted_join, salts_for, settle
 
 
 def first_by_key(rows: DataFrame, key: Column, order: list[Column]) -> DataFrame:
@@ -128,3 +129,41 @@ def far_from_gold(vectors: DataFrame, gold: DataFrame, id_col: str, vec_col: str
     kind = vectors.schema[id_col].dataType.simpleString()
     like = met.select("id", "v", "_b", "_g").mapInArrow(run, f"id {kind}").distinct()
     return vectors.join(like.select(F.col("id").alias(id_col)), id_col, "left_anti")
+
+
+def near_texts(docs: DataFrame, id_col: str, text: str, similar: float = 0.8, size: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(members(id, cls), links(cls_a < cls_b, similarity)): near-duplicates by Jaccard over ``size``-word shingles, exactly.
+
+    Texts of equal shingle sets are one class, named by its smallest id; only classes meet.  Of a class's n shingles the
+    n - ceil(similar n) + 1 rarest hold one in common with any class that is similar enough, so classes meet on
+    those alone, in blocks where a shingle is frequent.  Shingles are 64-bit hashes.  Texts of fewer words than ``size`` (null ones too) are
+    left out of both.
+    """
+    words = tokens(F.col(text))
+    grams = F.transform(F.sequence(F.lit(0), F.size("w") - size), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, size), " ")))
+    sets = docs.select(F.col(id_col).alias("id"), words.alias("w")).where(F.size("w") >= size).select("id", F.array_sort(F.array_distinct(grams)).alias("s"))
+    sets = settle(sets.withColumn("k", F.md5(F.array_join("s", ",")).substr(1, 32)), "near-sets")
+    classes = settle(sets.groupBy("k").agg(F.min("id").alias("cls")), "near-classes")
+    members = sets.select("id", "k").join(classes, "k").select("id", "cls")
+    alone = settle(sets.join(classes.select(F.col("cls").alias("id")), "id", "left_semi").select(F.col("id").alias("cls"), F.size("s").alias("n"), "s"), "near-alone")
+    each = alone.select("cls", "n", F.explode("s").alias("g"))
+    often = each.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")  # a shingle of one class joins nothing
+    place = F.row_number().over(Window.partitionBy("cls").orderBy("df", "g"))
+    # Shingles that only this class has come first in the order; they are n less those that are shared.
+    shared = each.join(often, "g").withColumn("left", F.count(F.lit(1)).over(Window.partitionBy("cls"))).withColumn("at", place + F.col("n") - F.col("left"))
+    keys = settle(shared.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * similar - 1e-9) + 1).select("cls", "n", "g"), "near-keys")
+    a, b = keys.select(F.col("cls").alias("a"), F.col("n").alias("na"), "g"), keys.select(F.col("cls").alias("b"), F.col("n").alias("nb"), "g")
+    met = block_join(a, b, ["g"], F.col("a"), F.col("b")).where(F.col("a") < F.col("b")).where(F.least("na", "nb") >= similar * F.greatest("na", "nb") - 1e-9).select("a", "b").distinct()
+    both = met.join(alone.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(alone.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    links = both.select(F.col("a").alias("cls_a"), F.col("b").alias("cls_b"), (common / (F.size("sa") + F.size("sb") - common)).alias("similarity")).where(F.col("similarity") >= similar - 1e-9)
+    return members, links
+
+
+def link_counts(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, cls, n_links): how many other texts each one is like, those of its own class included."""
+    sizes = members.groupBy("cls").agg(F.count(F.lit(1)).alias("size"))
+    ways = links.select(F.col("cls_a").alias("cls"), F.col("cls_b").alias("other")).unionByName(links.select(F.col("cls_b").alias("cls"), F.col("cls_a").alias("other")))
+    more = ways.join(sizes.select(F.col("cls").alias("other"), "size"), "other").groupBy("cls").agg(F.sum("size").alias("more"))
+    per = sizes.join(more, "cls", "left").select("cls", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), salts_for(F.col("size")).alias("n_salts"))
+    return salted_join(members, settle(per, "near-links"), ["cls"], F.col("id")).select("id", "cls", "n_links")

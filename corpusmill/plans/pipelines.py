@@ -256,6 +256,13 @@ def example_block(spark, sf_dir):
     return g.select("id", F.concat(F.lit("Examples:\n"), F.array_join(F.transform("a", lambda x: x["line"]), "\n")).alias("block"))
 
 
+@query(f"WITH d AS (SELECT resp_id AS id, {TOK.format('response')} AS w FROM endpoint_baseline WHERE response IS NOT NULL), s AS (SELECT id, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM d WHERE len(w) >= 5), e AS (SELECT id, len(s) AS n, unnest(s) AS g FROM s), p AS (SELECT a.id, b.id AS other, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.g = b.g AND a.id <> b.id GROUP BY 1, 2), l AS (SELECT id, count(*) AS n FROM p WHERE c / (na + nb - c) >= 0.8 - 1e-9 GROUP BY id) SELECT s.id AS resp_id, coalesce(l.n, 0) AS n_links FROM s LEFT JOIN l ON l.id = s.id")
+def near_duplicate_links(spark, sf_dir):
+    """How many other answers share four fifths of each answer's five-word shingles."""
+    members, links = dedup.near_texts(load(spark, sf_dir, "endpoint_baseline"), "resp_id", "response")
+    return dedup.link_counts(members, links).select(F.col("id").alias("resp_id"), "n_links")
+
+
 @query("SELECT v.vec_id FROM embeddings v WHERE v.label <> 0 AND NOT EXISTS (SELECT 1 FROM embeddings g WHERE g.label = 0 AND list_cosine_similarity(v.embedding::DOUBLE[], g.embedding::DOUBLE[]) > 0.3)")
 def far_from_gold(spark, sf_dir):
     """Vectors unlike every gold one (label 0)."""

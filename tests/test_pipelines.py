@@ -166,3 +166,18 @@ def test_late_events_are_reported(spark, tmp_path):
 
 def test_json_values_are_json():
     assert json.loads(files.salvage_objects('x {"ä": "ү"} y')[0]) == {"ä": "ү"}
+
+
+def test_near_texts_against_brute_force(spark, monkeypatch):
+    rng = random.Random(7)
+    vocab = [f"w{i}" for i in range(30)]
+    base = [[rng.choice(vocab) for _ in range(rng.randrange(4, 60))] for _ in range(12)]
+    rows = [(i, " ".join(w if rng.random() > 0.02 else rng.choice(vocab) for w in rng.choice(base))) for i in range(150)]
+    rows += [(500, None), (501, ""), (502, "a b c"), (503, rows[0][1].upper()), (504, rows[0][1])]
+    grams = {i: {tuple(x.lower().split()[k : k + 5]) for k in range(len(x.split()) - 4)} for i, x in rows if x and len(x.split()) >= 5}
+    want = {i: sum(j != i and len(s & t) / len(s | t) >= 0.8 for j, t in grams.items()) for i, s in grams.items()}
+    t = spark.createDataFrame([(i, x, "x") for i, x in rows], "k long, t string, cls string")
+    for block in (1000, 3):
+        monkeypatch.setattr(dedup, "block_join", lambda *a, b=block: runtime.block_join(*a, b))
+        assert {r["id"]: r["n_links"] for r in dedup.link_counts(*dedup.near_texts(t, "k", "t")).collect()} == want
+    assert dedup.near_texts(t.limit(0), "k", "t")[0].count() == 0
