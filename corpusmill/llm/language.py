@@ -35,7 +35,7 @@ MAX_WORDS = 60_000
 NGRAM = 4
 #: Log-odds price of switching the language between two words.
 SWITCH = 7.0
-#: A segment counts as a language of the text from this many words on.
+#: A segment counts as a language of the text from this many words on, or if it holds a whole sentence of two words or more.
 CLAUSE_WORDS = 4
 
 # Usual romanisation of Cyrillic letters, Kazakh ones included.
@@ -47,6 +47,7 @@ ROMAN = dict(
     )
 )
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
 
 
@@ -54,6 +55,17 @@ def romanise(word: str) -> str:
     return "".join(ROMAN.get(c, c) for c in word)
 
 
+def holds_sentence(text: str, start: int, end: int) -> bool:
+    """Whether the words from ``start`` to ``end`` of a text hold a sentence of two words or more from its first to its last."""
+    at = 0
+    for part in _SENTENCE.split(text):
+        n = len(words(part))
+        if n > 1 and start <= at and at + n <= end:
+            return True
+        at += n
+    return False
+
+
 def words(text: str | None) -> list[str]:
     return _WORD.findall(_HIDDEN.sub("", text).lower()) if text else []
 
@@ -168,10 +180,14 @@ class Model:
         weight: dict[str, float] = defaultdict(float)
         biggest: dict[str, int] = defaultdict(int)
         for t in texts:
+            at = 0
             for k, n, share in self.segments(t):
                 size[k] += n
                 weight[k] += share * n
-                biggest[k] = max(biggest[k], n)
+                # A whole sentence counts, however short.
+                whole = 1 < n < CLAUSE_WORDS and holds_sentence(t, at, at + n)
+                biggest[k] = max(biggest[k], CLAUSE_WORDS if whole else n)
+                at += n
         kept = [k for k in size if biggest[k] >= CLAUSE_WORDS] or ([max(sorted(size), key=size.get)] if size else [])
         return sorted(((k, size[k], weight[k] / size[k]) for k in kept), key=lambda x: (-x[1], x[0]))
 

@@ -220,6 +220,14 @@ def test_languages(spark, model):
     assert got[5] == ["ru"] and got[6] == [] and got[7] == [] and got[8] == ["ru"] and got[9] == []
 
 
+def test_short_sentences_count_and_borrowed_words_do_not(model):
+    told = "this is a plain sentence about the long day. дома с сестрой. and the quiet evening at home with my sister."
+    assert {k for k, *_ in model.languages([told])} == {"en", "ru"}
+    borrowed = "this is a plain sentence about дома с the long day and the quiet evening at home with my sister."
+    assert [k for k, *_ in model.languages([borrowed])] == ["en"]
+    assert [k for k, *_ in model.languages(["дома с сестрой", None, ""])] == ["ru"]
+
+
 def test_held_out_accuracy(model):
     held = {"en": "my sister and the evening at home", "ru": "вечер дома с моей сестрой", "kk": "менің әпкем үйде отыр"}
     assert all(model.languages([t])[0][0] == k for k, t in held.items())
