@@ -25,12 +25,12 @@ from corpusmill.llm import language, residue, terminality
 from corpusmill.runtime import settle
 
 DEFECTS = ("empty", "copies_question", "other_language", "refusal", "truncated")
-#: Posterior from which a defect holds; validated on hand-made pairs in tests/llm.
+#: Posterior from which a defect holds; precision and recall of each defect at it are held on labelled pairs in tests/llm.
 CUTOFF = 0.5
 #: Votes per defect.
 N_VOTES = 3
-#: Vote patterns kept on the driver; N_VOTES votes of 3 values for each defect bound them.
-MAX_PATTERNS = 3**N_VOTES
+#: Most distinct vote patterns that may reach the driver (a few hundred occur); more are an error.
+MAX_PATTERNS = 200_000
 
 # Stand-ins for an answer that says nothing.
 STAND_INS = frozenset("null none nil nan na n/a undefined empty blank пусто нет бос жоқ".split()) | {"n a", "no answer", "no response", "нет ответа", "без ответа", "жауап жоқ"}
@@ -264,7 +264,9 @@ def defects(dialogues: DataFrame, responses: DataFrame) -> DataFrame:
     voted = settle(pairs.mapInArrow(_vote_batches(b_lang, b_ends), "tbl string, row_key long, msg_idx int, code long"), "pair-votes")
     counted = voted.groupBy("code").count()
     per: list[Counter] = [Counter() for _ in DEFECTS]
-    codes = counted.collect()  # distinct vote patterns: MAX_PATTERNS ** len(DEFECTS) at the very most, a few hundred in fact
+    codes = counted.limit(MAX_PATTERNS + 1).collect()
+    if len(codes) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} vote patterns")
     for r in codes:
         for c, v in zip(per, unpack(r["code"]), strict=True):
             c[v] += r["count"]
