@@ -5,7 +5,9 @@ once.  Trusted labels come from patterns of placeholders, filler, error pages an
 script notices.  A 64-bit SimHash of every sentence is kept in four partitioned
 tables of 16 bits each; sentences that share a partition with a labelled one, are
 within HAMMING bits of it and at least SIMILAR in text take its label, and so on
-through the connected component until nothing changes.  Sentences are too short for
+through the connected component until nothing changes.  A label is handed on only with
+the words that speak for it (KEPT of their letters, over all steps): a notice may stand within
+a sentence of real talk, whose near-copies without it are no residue.  Sentences are too short for
 SimHash to bring all such pairs together, so they also meet by their prefixes: of two
 sentences that reach SIMILAR, the first words in a fixed order have one in common.
 Words with a digit count as one.
@@ -32,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.runtime import block_join, salted_join, salts_for, settle
+from corpusmill.runtime import salted_join, salts_for, settle
 
 #: Two sentences are near-duplicates within this many differing SimHash bits ...
 HAMMING = 3
 #: ... and this share of words in the same order.
 SIMILAR = 0.8
-#: Rows of labelled sentences and their keys up to this number are broadcast (about 100 bytes each); beyond, a shuffle join.
+#: Share of the letters of a label's evidence that a sentence must keep, and the likeness of a spoilt word to the right one.
+KEPT, LIKE = 0.5, 0.65
+#: Rows of labelled sentences and their keys are broadcast up to this number (about 100 bytes each), more of them in turns.
 BROADCAST_ROWS = 200_000
 
 # What the words of placeholders, service pages and filler look like in the three languages.
@@ -76,6 +80,7 @@ _DEMAND = r"(?:enable|allow|activate|turn(?:ed)? on|turned off|switch(?:ed)? off
 SCRIPTS = re.compile(rf"\b{_SCRIPT}\b.*\b{_DEMAND}\b|\b{_DEMAND}\b.*\b{_SCRIPT}\b|^разрешите их чтобы продолжить|^оларды қосыңыз")
 HTTP = re.compile(rf"\b[0-9]{{3}} (?:{HTTP_ERRORS})\b")
 CODE_ONLY = re.compile(r"(?:error|ошибка|қате) [0-9]+$")
+FILE_LINE = re.compile(r"^file \S+ py line [0-9]+ in\b")
 #: Strings that must occur before the slower patterns of a kind are tried.
 SCRIPT_HINTS = ("javascript", "java script", " js ", "script", "cookie", "скрипт", "сценари", "куки", "разрешите их", "оларды қосыңыз")
 MARKED = re.compile(r"[{}<>\[\]_@$#%&]|undefined|NaN\b", re.I)
@@ -123,13 +128,27 @@ def label(text: str | None, tokens: list[str] | None = None) -> str | None:
     for _, kind in hints().iter(f" {n} "):
         if kind == "filler" and FILLER.search(n):
             return kind
-        if kind == "error_page" and (SERVICE.search(n) or HTTP.search(n)) or kind == "file" and re.search(r"^file \S+ py line [0-9]+ in\b", n):
+        if kind == "error_page" and (SERVICE.search(n) or HTTP.search(n)) or kind == "file" and FILE_LINE.search(n):
             return "error_page"
         if kind == "script_notice" and SCRIPTS.search(n):
             return kind
     return None
 
 
+_SPEAKS = {"filler": [FILLER], "error_page": [SERVICE, HTTP, CODE_ONLY, FILE_LINE], "script_notice": [re.compile(rf"\b{_SCRIPT}\b"), re.compile(rf"\b{_DEMAND}\b")]}
+
+
+def evidence(tokens: list[str], kind: str) -> list[int]:
+    """Places of the words that speak for a label: those its patterns match, else all."""
+    n = " ".join(tokens)
+    places = {i for p in _SPEAKS[kind] for m in p.finditer(n) for i in range(n.count(" ", 0, m.start()), n.count(" ", 0, m.end()) + 1)}
+    if kind == "error_page":
+        places |= {i for i, t in enumerate(tokens[:2]) if t.endswith(("error", "exception")) and len(t) > 7}
+    if kind == "filler" and tokens[0] in ("todo", "fixme", "tbd"):
+        places.add(0)
+    return sorted(places) or list(range(len(tokens)))
+
+
 # Strings one of which must occur before the slower patterns of a kind are tried.
 HINTS = {
     "error_page": [
@@ -195,11 +214,6 @@ def simhashes(token_lists: list[list[str]]) -> np.ndarray:
     return out
 
 
-def folded(text: str) -> list[str]:
-    """Words of a sentence; those with a digit are all one."""
-    return ["0" if any(c.isdigit() for c in w) else w for w in words(text)]
-
-
 def prefix(tokens: list[str]) -> list[int]:
     """Word hashes (repeats of a word apart) of which sentences of similarity SIMILAR share one.
 
@@ -221,25 +235,45 @@ def _label_batches(batches):
         texts = batch.column("seg").to_pylist()
         tokens = [words(t) for t in texts]
         plain = [["0" if any(c.isdigit() for c in w) else w for w in t] for t in tokens]
+        labels = [label(t, w) for t, w in zip(texts, tokens, strict=True)]
+        spread = [k in PROPAGATE and bool(w) for k, w in zip(labels, tokens, strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("h"), batch.column("seg"), batch.column("n"), pa.array(simhashes(tokens).view(np.int64)), pa.array([label(t, w) for t, w in zip(texts, tokens, strict=True)], pa.string()),
-             pa.array([len(w) for w in tokens], pa.int32()), pa.array([prefix(t) for t in plain], pa.list_(pa.int64())), pa.array([hashlib.blake2b(" ".join(t).encode(), digest_size=16).digest() for t in plain], pa.binary())],
-            ["h", "seg", "n", "sim", "label", "n_words", "prefix", "fold"],
+            [batch.column("h"), pa.array([" ".join(t) for t in plain], pa.string()), batch.column("n"), pa.array(simhashes(tokens).view(np.int64)), pa.array(labels, pa.string()),
+             pa.array([len(w) for w in tokens], pa.int32()), pa.array([prefix(t) for t in plain], pa.list_(pa.int64())), pa.array([hashlib.blake2b(" ".join(t).encode(), digest_size=16).digest() for t in plain], pa.binary()),
+             pa.array([evidence(w, k) if s else None for w, k, s in zip(tokens, labels, spread, strict=True)], pa.list_(pa.int32())), pa.array([1.0 if s else None for s in spread], pa.float64())],
+            ["h", "plain", "n", "sim", "label", "n_words", "prefix", "fold", "evidence", "share"],
         )
 
 
+def handed_on(seed: list[str], places: list[int], other: list[str]) -> tuple[float, list[int]] | None:
+    """Share of the letters of ``seed``'s evidence that ``other`` keeps in its place, and where; None unless the two are SIMILAR."""
+    if not seed or not other or min(len(seed), len(other)) < 3 and seed != other or 2 * (Counter(seed) & Counter(other)).total() < SIMILAR * (len(seed) + len(other)):
+        return None
+    match = SequenceMatcher(None, seed, other, autojunk=False)
+    if match.ratio() < SIMILAR:
+        return None
+    kept: dict[int, int] = {}  # place in other: letters
+    for what, i1, i2, j1, j2 in match.get_opcodes():
+        for i in places:
+            if i1 <= i < i2 and what == "equal":
+                kept[j1 + i - i1] = len(seed[i])
+            elif i1 <= i < i2 and what == "replace":
+                like = [j for j in range(j1, j2) if j not in kept and SequenceMatcher(None, seed[i], other[j], autojunk=False).ratio() >= LIKE]
+                kept |= {j: len(seed[i]) for j in like[:1]}
+    return sum(kept.values()) / sum(len(seed[i]) for i in places), sorted(kept)
+
+
 def _verify_batches(batches):
-    """Keeps candidates whose words agree with the labelled sentence's."""
+    """Keeps candidates whose words agree with the labelled sentence's, its evidence among them."""
     for batch in batches:
-        keep = []
-        for i, (a, b) in enumerate(zip(batch.column("seg").to_pylist(), batch.column("seed").to_pylist(), strict=True)):
-            wa, wb = folded(a), folded(b)
-            if wa and wb and 2 * (Counter(wa) & Counter(wb)).total() >= SIMILAR * (len(wa) + len(wb)) and SequenceMatcher(None, wa, wb, autojunk=False).ratio() >= SIMILAR and not (min(len(wa), len(wb)) < 3 and wa != wb):
-                keep.append(i)
-        yield batch.select(["h", "label"]).take(pa.array(keep, pa.int64()))
+        got = []
+        for h, plain, seed, kind, places, share in zip(*(batch.column(c).to_pylist() for c in ("h", "plain", "seed", "label", "evidence", "share")), strict=True):
+            if (on := handed_on(seed.split(" "), places, plain.split(" "))) and on[0] * share >= KEPT:
+                got.append((h, kind, on[1], on[0] * share))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], t) for i, t in enumerate((pa.binary(), pa.string(), pa.list_(pa.int32()), pa.float64()))], ["h", "label", "evidence", "share"])
 
 
-_TABLE = "h string, seg string, n long, sim long, label string, n_words int, prefix array<long>, fold binary"
+_TABLE = "h binary, plain string, n long, sim long, label string, n_words int, prefix array<long>, fold binary, evidence array<int>, share double"
 
 
 def segments(messages: DataFrame, text: str = "text") -> DataFrame:
@@ -248,7 +282,7 @@ def segments(messages: DataFrame, text: str = "text") -> DataFrame:
     seg = F.translate(F.trim(F.col("_seg")), "123456789", "000000000")
     rest = [c for c in messages.columns if c != text]
     out = messages.where(F.col(text).isNotNull()).select(*rest, F.explode(cut).alias("_seg")).select(*rest, seg.alias("seg")).where("seg <> ''")
-    return out.withColumn("h", F.concat(F.lpad(F.hex(F.xxhash64("seg")), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit("s"), "seg")), 16, "0")))
+    return out.withColumn("h", F.unhex(F.concat(F.lpad(F.hex(F.xxhash64("seg")), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit("s"), "seg")), 16, "0"))))
 
 
 def _blocks(df: DataFrame, *keep: str) -> DataFrame:
@@ -266,31 +300,43 @@ def residue_segments(messages: DataFrame, text: str = "text", propagate: bool =
     open_ = table.where("label is null and n_words > 0")
     while propagate:
         # Sentences of the same folded words are one node of the graph: one seed each.
-        seeds = frontier.groupBy("fold").agg(F.min(F.struct("seg", "label")).alias("s"), F.first("sim").alias("seed_sim"), F.first("n_words").alias("seed_words"), F.first("prefix").alias("prefix"))
-        seeds = settle(seeds.select(F.col("fold").alias("seed_fold"), "seed_sim", "seed_words", "prefix", F.col("s.seg").alias("seed"), "s.label"), "residue-seeds")
-        n = seeds.count()
+        seeds = frontier.groupBy("fold").agg(F.max(F.struct("share", "label", "evidence", "plain")).alias("s"), F.first("sim").alias("seed_sim"), F.first("n_words").alias("seed_words"), F.first("prefix").alias("seed_prefix"))
+        seeds = settle(seeds.select("fold", F.col("s.plain").alias("seed"), "s.label", "s.evidence", "s.share", "seed_sim", "seed_words", "seed_prefix"), "residue-seeds")
+        n, rows = seeds.agg(F.count(F.lit(1)), F.sum(F.size("seed_prefix") + 4 + F.length("seed") / 50)).first()
         if not n:
             break
-        cols = ["h", "seg", "seed", "seed_fold", "label"]
-        marked = _blocks(seeds.withColumn("sim", F.col("seed_sim")), "seed_sim", "seed", "seed_fold", "label")
-        near = _meet(_blocks(open_, "h", "seg", "sim"), marked, ["tab", "bits"], 4 * n).where(F.bit_count(F.col("sim").bitwiseXOR(F.col("seed_sim"))) <= HAMMING)
-        met = seeds.select("seed", "seed_fold", "label", "seed_words", F.explode("prefix").alias("key"))
-        by_word = _meet(open_.select("h", "seg", "n_words", F.explode("prefix").alias("key")), met, ["key"], 16 * n)
-        by_word = by_word.where(F.least("n_words", "seed_words") * (2 - SIMILAR) >= SIMILAR * F.greatest("n_words", "seed_words") - 1e-6)
-        near = near.select(*cols).unionByName(by_word.select(*cols)).dropDuplicates(["h", "seed_fold"])
-        fresh = settle(near.mapInArrow(_verify_batches, "h string, label string").groupBy("h").agg(F.min("label").alias("label")), "residue-fresh")
+        turns = min(n, math.ceil(rows / max(1, BROADCAST_ROWS)))
+        near = [_near(open_, seeds.where(F.pmod(F.xxhash64("fold"), F.lit(turns)) == i)) for i in range(turns)]
+        fresh = near[0]
+        for x in near[1:]:
+            fresh = fresh.unionByName(x)
+        fresh = fresh.mapInArrow(_verify_batches, "h binary, label string, evidence array<int>, share double").groupBy("h").agg(F.max(F.struct("share", "label", "evidence")).alias("s")).select("h", "s.*")
+        fresh = settle(fresh, "residue-fresh")
         fresh = F.broadcast(fresh) if fresh.count() <= BROADCAST_ROWS else fresh
-        frontier = settle(open_.drop("label").join(fresh, "h"), "residue-frontier")
+        frontier = settle(open_.drop("label", "evidence", "share").join(fresh, "h"), "residue-frontier")
         found = found.unionByName(frontier.select("h", "label", "n"))
         open_ = open_.join(fresh.select("h"), "h", "left_anti")
     return found
 
 
-def _meet(open_: DataFrame, seeds: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """Join of sentences with seeds; a shuffle, in blocks for keys of many rows, unless the seeds are few."""
-    if size <= BROADCAST_ROWS:
-        return open_.join(F.broadcast(seeds), keys)
-    return block_join(settle(open_, "residue-open"), settle(seeds, "residue-met"), keys, F.col("h"), F.col("seed_fold"))
+def _near(open_: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Open sentences that may be near-duplicates of seeds and hold a word of their evidence; nothing is shuffled or written.
+
+    By prefixes a pair meets once, at the first key that both have.
+    """
+    speaks = F.transform("evidence", lambda i: F.element_at(F.split("seed", " "), i + 1))
+    seeds = seeds.withColumnRenamed("fold", "seed_fold").withColumn("speaks", F.transform(F.array_distinct(speaks), lambda w: F.concat(F.lit(" "), w, F.lit(" "))))
+    whole = F.broadcast(seeds.select("seed_fold", "seed", "label", "evidence", "share", "speaks", "seed_prefix"))
+    held = F.exists("speaks", lambda w: F.contains(F.concat(F.lit(" "), F.col("plain"), F.lit(" ")), w))
+    cols = ["h", "plain", "seed", "label", "evidence", "share"]
+    open_ = open_.select("h", "plain", "sim", "n_words", "prefix")
+    marked = F.broadcast(_blocks(seeds.withColumn("sim", F.col("seed_sim")), "seed_sim", "seed_fold"))
+    by_hash = _blocks(open_, "h", "plain", "sim").join(marked, ["tab", "bits"]).where(F.bit_count(F.col("sim").bitwiseXOR(F.col("seed_sim"))) <= HAMMING)
+    met = F.broadcast(seeds.select("seed_fold", "seed_words", F.explode("seed_prefix").alias("key")))
+    by_word = open_.select("h", "plain", "n_words", "prefix", F.explode("prefix").alias("key")).join(met, ["key"])
+    by_word = by_word.where(F.least("n_words", "seed_words") * (2 - SIMILAR) >= SIMILAR * F.greatest("n_words", "seed_words") - 1e-6)
+    by_word = by_word.join(whole, "seed_fold").where(held).where(F.element_at(F.array_intersect("prefix", "seed_prefix"), 1) == F.col("key"))
+    return by_hash.join(whole, "seed_fold").where(held).select(*cols).unionByName(by_word.select(*cols))
 
 
 def all_messages(dialogues: DataFrame, responses: DataFrame) -> DataFrame:

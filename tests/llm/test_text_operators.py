@@ -99,6 +99,26 @@ def test_label_spreads_to_near_sentences(spark):
     assert {r["k"] for r in residue.residue_messages(t).collect()} == {1, 2, 3}
 
 
+def test_notice_within_real_talk_does_not_spread(spark):
+    """Near-copies of the talk around a notice are none, neither at the first step nor further on; the notice's own variants are."""
+    talk = "в прошлый {} утром в библиотеке мы опять поругались с {} из-за {} и вечером я думаю только про долгий переезд на север"
+    days, who, why = ("вторник", "четверг", "понедельник"), ("соседкой", "бригадиром", "врачом"), ("собаки", "тетради", "кофе")
+    lines = [talk.format(d, w, y) for d in days for w in who for y in why]
+    notices = ["502 bad gateway", "включите cookies и сценарии", "сервис временно недоступен"]
+    rows = [(i, x) for i, x in enumerate(lines)] + [(100 + i, f"{lines[i]} {x}") for i, x in enumerate(notices)] + [(200, " ".join(lines[5].split()[:-2]) + " connection reset")]
+    rows.append((300, f"{lines[0]} 502 bad gatewey"))
+    got = {r["k"] for r in residue.residue_messages(spark.createDataFrame(rows, "k long, text string")).collect()}
+    assert got == {100, 101, 102, 200, 300}
+
+
+def test_turns_of_seeds_give_the_same_labels(spark, monkeypatch):
+    lines = [(i, x) for i, x in enumerate(SERVICE_LINES)] + [(20 + i, x.replace("502 bad", "502 bat").replace("not found", "not fount").replace("недоступен", "недоступин")) for i, x in enumerate(SERVICE_LINES)]
+    t = spark.createDataFrame(lines, "k long, text string")
+    want = sorted(tuple(r) for r in residue.residue_messages(t).collect())
+    monkeypatch.setattr(residue, "BROADCAST_ROWS", 30)
+    assert sorted(tuple(r) for r in residue.residue_messages(t).collect()) == want and len(want) == len(lines)
+
+
 def test_prefixes_meet_whenever_sentences_are_near():
     import random
     from difflib import SequenceMatcher
