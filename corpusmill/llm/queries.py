@@ -70,8 +70,7 @@ def p2_slice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_repeats_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each slice loses once repeated contents are taken out: the signed deltas of a third update."""
     book = _ledger(spark, sf_dir)
-    first = book.snapshot().groupBy("content_hash").agg(F.min(F.struct("tbl", "row_key")).alias("k")).select("k.*")
-    book.update(_units(spark, sf_dir).join(first, ["tbl", "row_key"], "left_semi"))
+    book.remove(tokens.repeated(book.snapshot().select("content_hash", F.struct("tbl", "row_key").alias("_id"))))
     return book.changes()
 
 

@@ -121,11 +121,15 @@ def unseen(docs: DataFrame, id_cols: list[str], known: DataFrame | None = None,
         take = settle(keys.groupBy("content_hash").agg(F.min("_id").alias("_id")).select("_id.*"), "tokens-unseen")
         small = F.broadcast(take) if take.count() <= BROADCAST_IDS else take
         return hashed.join(small, id_cols, "left_semi").select("content_hash", text)
+    later = repeated(keys)
+    return hashed.join(F.broadcast(later) if later.count() <= BROADCAST_IDS else later, id_cols, "left_anti").select("content_hash", text)
+
+
+def repeated(keys: DataFrame) -> DataFrame:
+    """Ids of the rows of ``keys`` (content_hash, struct _id) whose content a smaller id has too."""
     repeats = keys.groupBy("content_hash").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     repeats = settle(repeats.select("content_hash", "_first", salts_for(F.col("n")).alias("n_salts")), "tokens-repeats")
-    later = salted_join(keys, repeats, ["content_hash"], F.col("_id")).where("_id <> _first").select("_id.*")
-    later = settle(later, "tokens-later")
-    return hashed.join(F.broadcast(later) if later.count() <= BROADCAST_IDS else later, id_cols, "left_anti").select("content_hash", text)
+    return settle(salted_join(keys, repeats, ["content_hash"], F.col("_id")).where("_id <> _first").select("_id.*"), "tokens-later")
 
 
 def count_table(docs: DataFrame, id_cols: list[str], known: DataFrame | None = None, text: str = "text", vocabulary: str = VOCABULARY, tokenizers: str = TOKENIZERS) -> DataFrame:
@@ -233,6 +237,21 @@ class TokenLedger:
         self.version += 1
         return self.cube()
 
+    def remove(self, ids: DataFrame) -> DataFrame:
+        """An update that takes the rows of ``ids`` (distinct) out; returns the new cube.
+
+        Only the ledger is read: no text is looked at or moved.
+        """
+        small = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        old = self.snapshot()
+        self._write(self.counts().limit(0), "counts")
+        self._write(old.join(small, self.id_cols, "left_anti"), "snapshot")
+        gone = old.join(small, self.id_cols, "left_semi").groupBy(*self.dims)
+        change = self._write(gone.agg((-F.count(F.lit(1))).alias("d_rows"), (-F.sum("n_tokens")).alias("d_tokens")), "deltas")
+        self._write(apply_deltas(self.cube(), change, self.dims), "cube")
+        self.version += 1
+        return self.cube()
+
 
 def usual_lang(col: Column, known: tuple[str, ...] | None = ("en", "ru", "kk")) -> Column:
     """Lower-case primary subtag of a language tag; null where it names no language, or none of ``known``."""

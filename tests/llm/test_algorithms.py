@@ -52,6 +52,26 @@ def test_broken_update_is_done_again(spark, tmp_path):
     assert book.update(docs.where("id = 1")).collect()[0]["source"] == "a" and book.version == 1
 
 
+@HERE
+@pytest.mark.parametrize("few", [True, False])
+def test_removal_equals_an_update_without_the_rows(spark, tmp_path, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(tokens, "BROADCAST_IDS", 0)
+    docs = spark.createDataFrame([(1, "a", "x y"), (2, "a", "x y"), (3, None, "x y"), (4, "b", None), (5, "b", None), (6, "c", "z")], "id long, source string, text string")
+    a, b = (tokens.TokenLedger(spark, f"{tmp_path}/{x}", ["id"], ["source"]) for x in "ab")
+    a.update(docs)
+    b.update(docs)
+    later = tokens.repeated(a.snapshot().select("content_hash", F.struct("id").alias("_id")))
+    assert sorted(r["id"] for r in later.collect()) == [2, 3, 5]
+
+    def rows(df):
+        return sorted(map(repr, df.collect()))
+
+    assert rows(a.remove(later)) == rows(b.update(docs.where("id in (1, 4, 6)"))) and a.version == b.version == 1
+    assert rows(a.changes()) == rows(b.changes()) and rows(a.snapshot()) == rows(b.snapshot()) and rows(a.counts()) == rows(b.counts())
+    assert rows(tokens.TokenLedger(spark, f"{tmp_path}/a", ["id"], ["source"]).update(docs)) == rows(b.update(docs))  # it goes on from there
+
+
 @HERE
 @pytest.mark.parametrize("few", [True, False])
 def test_each_content_is_encoded_once(spark, monkeypatch, few):
