@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most entries of the model, the most frequent ones; a bound on what the driver and the workers hold, not on what is counted.
+#: Most entries that the driver and the workers hold; with more, texts are joined to the entries they ask for (``asked``, ``answers``).
 MAX_ENTRIES = 1_000_000
 #: Keys that a task holds before it gives its counts out.
 TASK_ENTRIES = 500_000
@@ -194,13 +194,64 @@ class Terminality:
         return p
 
 
-def fit(texts: DataFrame, text: Column, max_entries: int = MAX_ENTRIES) -> Terminality:
-    """Count the sentence ends of all texts; the ``max_entries`` most frequent counts reach the driver.
+class _Asks(Terminality):
+    """Keeps the words that a text is judged by."""
 
-    A rarer opening or pair is judged by its last word alone, as one never seen.
+    def __init__(self):
+        super().__init__({}, {})
+        self.w: list[str] = []
+
+    def closing(self, w: list[str]) -> float:
+        self.w = w
+        return 0.5
+
+
+def asked(text: str | None) -> list[tuple[str, str]]:
+    """(kind, key) of all entries that ``Terminality.complete`` may look up for a text."""
+    asks = _Asks()
+    asks.complete(text)
+    if not (w := asks.w):
+        return []
+    start, pair = " ".join(w[:2]), f"{w[-2]}>{w[-1]}" if len(w) > 1 else ""
+    keys = [("l", " ".join(w)), ("w", w[-1]), ("v", w[-1])]
+    keys += [("w", f"{start}|{w[-1]}"), ("w", f"{start}|{w[1]}"), ("w", pair), ("p", pair), ("s", start)] if pair else [("w", f"|{w[-1]}")]
+    return list(dict.fromkeys(keys))
+
+
+def answers(total: DataFrame) -> DataFrame:
+    """(kind, key, n_end, n_on) of the counts, and which strings are or begin words (v), openings (s) and pairs (p): n_end is 1 if one is, n_on if it goes on."""
+    w = total.where("kind = 'w'").select("key")
+    known = w.where("not (key like '%|%' or key like '%>%')").select(F.lit("v").alias("kind"), "key", F.lit(1).alias("least"))
+    pairs = w.where("key like '%>%'").select(F.lit("p").alias("kind"), "key", (F.instr("key", ">") + 1).alias("least"))
+    starts = w.where("key like '%|%' and key not like '|%'").select(F.substring_index("key", "|", 1).alias("key")).distinct()
+    starts = starts.select(F.lit("s").alias("kind"), "key", (F.instr("key", " ") + 1).alias("least"))
+    cut = known.unionByName(pairs).unionByName(starts).select("kind", F.explode(F.sequence("least", F.length("key"))).alias("n"), F.col("key").alias("full"))
+    cut = cut.select("kind", F.substring("full", F.lit(1), F.col("n")).alias("key"), (F.length("full") == F.col("n")).alias("whole"))
+    cut = cut.groupBy("kind", "key").agg(F.max(F.col("whole").cast("long")).alias("n_end"), F.max((~F.col("whole")).cast("long")).alias("n_on"))
+    return total.unionByName(cut)
+
+
+def told(rows: list[tuple[str, str, int, int]]) -> Terminality:
+    """The model of the ``answers`` to what one text asked; it judges that text as the whole model does."""
+    of = lambda kind: [r[1:] for r in rows if r[0] == kind]
+    model = Terminality({k: (e, m) for k, e, m in of("w")}, {k: e for k, e, _ in of("l")})
+    begins = lambda kind: sorted(x for k, e, m in of(kind) for x in [k] * e + [f"{k}\U0010ffff"] * m)
+    model.vocabulary, model.starts, model.pairs = begins("v"), begins("s"), begins("p")
+    return model
+
+
+def totals(texts: DataFrame, text: Column) -> DataFrame:
+    """(kind, key, n_end, n_on): the sentence ends of all texts.
+
+    An opening or pair seen once is left out: it is judged by its last word alone, as one never seen.
     """
     total = texts.where(text.isNotNull()).select(text.alias("text")).mapInArrow(_count_batches, "kind string, key string, n_end long, n_on long").groupBy("kind", "key").agg(F.sum("n_end").alias("n_end"), F.sum("n_on").alias("n_on"))
-    got = total.where("n_end + n_on > 1 or not (key like '%|%' or key like '%>%')").orderBy(F.desc(F.col("n_end") + F.col("n_on")), "key").limit(max_entries).toArrow()
+    return total.where("n_end + n_on > 1 or not (key like '%|%' or key like '%>%')")
+
+
+def fit(total: DataFrame) -> Terminality:
+    """The model of all ``totals``, on the driver: for up to MAX_ENTRIES of them."""
+    got = total.toArrow()
     ends, last = {}, {}
     for kind, key, e, m in zip(*(got.column(c).to_pylist() for c in ("kind", "key", "n_end", "n_on")), strict=True):
         if kind == "w":

@@ -79,20 +79,46 @@ def bands(ws: list[str]) -> list[int]:
     return key.view(np.int64).tolist()
 
 
-def _score_batches(shared):
+def _score_batches(shared=None):
+    """Scores by the whole model, or by what each text was ``told`` of it."""
+
     def run(batches):
-        model: Terminality = shared.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
             ws = [terminality.words(t) for t in texts]
+            if shared is None:
+                rows = batch.column("told").to_pylist()
+                complete = [terminality.told([(x["kind"], x["key"], x["n_end"], x["n_on"]) for x in r or []]).complete(t) for t, r in zip(texts, rows, strict=True)]
+            else:
+                model: Terminality = shared.value
+                complete = [model.complete(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("h"), batch.column("n"), batch.column("text"), pa.array([len(w) for w in ws], pa.int32()), pa.array([model.complete(t) for t in texts]), pa.array([bands(w) for w in ws], pa.list_(pa.int64()))],
+                [batch.column("h"), batch.column("n"), batch.column("text"), pa.array([len(w) for w in ws], pa.int32()), pa.array(complete, pa.float64()), pa.array([bands(w) for w in ws], pa.list_(pa.int64()))],
                 ["h", "n", "text", "n_words", "complete", "bands"],
             )
 
     return run
 
 
+def _ask_batches(batches):
+    for batch in batches:
+        rows = [(h, kind, key) for h, t in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist(), strict=True) for kind, key in terminality.asked(t)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["h", "kind", "key"])
+
+
+def _scored(distinct: DataFrame, max_entries: int) -> DataFrame:
+    """``distinct`` with completeness and bands: by a model sent to all tasks or, beyond ``max_entries``, by a join of each text with the entries it asks for."""
+    total = settle(terminality.totals(distinct, F.col("text")), "cut-counts")
+    schema = "h string, n long, text string, n_words int, complete double, bands array<long>"
+    if total.count() <= max_entries:
+        return distinct.mapInArrow(_score_batches(distinct.sparkSession.sparkContext.broadcast(terminality.fit(total))), schema)
+    asks = settle(distinct.mapInArrow(_ask_batches, "h string, kind string, key string"), "cut-asked")
+    often = asks.groupBy("kind", "key").agg(salts_for(F.count(F.lit(1))).alias("n_salts"))
+    answers = settle(terminality.answers(total).join(often, ["kind", "key"]), "cut-answers")  # what nobody asks for goes
+    told = salted_join(asks, answers, ["kind", "key"], F.col("h")).groupBy("h").agg(F.collect_list(F.struct("kind", "key", "n_end", "n_on")).alias("told"))  # eight a text at most
+    return distinct.join(told, "h", "left").mapInArrow(_score_batches(), schema)
+
+
 def ends_early(cut: str, full: str) -> bool:
     """Whether ``cut``'s words run along ``full``'s (near-copies only) and stop before it ends."""
     a, b = terminality.words(cut), terminality.words(full)
@@ -114,14 +140,11 @@ def _align_batches(batches):
 
 def truncated(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, complete, aligned) of every cut document."""
-    spark = docs.sparkSession
     # Texts within distinct rows only; copies share a verdict by hash, and don't count as further evidence.
     both = F.concat(F.lpad(F.hex(F.xxhash64(text)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit("t"), F.col(text))), 16, "0"))
     keyed = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text"), both.alias("h"))
     distinct = settle(keyed.groupBy("h").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n")), "cut-texts")
-    model = terminality.fit(distinct, F.col("text"))
-    shared = spark.sparkContext.broadcast(model)  # MAX_ENTRIES counts at most
-    scored = settle(distinct.mapInArrow(_score_batches(shared), "h string, n long, text string, n_words int, complete double, bands array<long>"), "cut-scored")
+    scored = settle(_scored(distinct, terminality.MAX_ENTRIES), "cut-scored")
     member = scored.select("h", "n_words", "complete", F.explode("bands").alias("band"))
     size = member.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("complete").alias("least")).where(F.col("size") > 1).where(F.col("least") < CUT_ALIGNED)
     member = settle(member.join(size.select("band"), "band", "left_semi"), "cut-bands")  # buckets with an open text and another one

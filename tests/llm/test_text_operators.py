@@ -350,6 +350,25 @@ def test_truncation(spark):
     assert truncation.truncated(t.limit(0)).count() == 0
 
 
+def test_verdicts_do_not_depend_on_the_size_of_the_model(spark, monkeypatch):
+    """With more entries than a task may hold, every text is still judged by all counts."""
+    import random
+
+    rng = random.Random(5)
+    bank = "мы вчера долго гуляли у тихой реки и говорили о доме we walked slowly home and talked about the quiet garden all evening тихо домой garden".split()
+    whole = [" ".join(rng.choice(bank) for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    texts = [". ".join(rng.choices(whole, k=rng.randrange(1, 5))) + rng.choice([".", "", "…", " [...]", ",", "!"]) for _ in range(300)]
+    texts += [t[: rng.randrange(1, len(t) + 1)] for t in texts] + [None, "", "—", "- item", "home", "ho", "we wal"] + ["до встречи у реки"] * 4
+    t = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def found():
+        return sorted(tuple(r) for r in truncation.truncated(t).collect())
+
+    want = found()
+    monkeypatch.setattr(terminality, "MAX_ENTRIES", 10)
+    assert found() == want and len(want) > 50
+
+
 def test_aligned_ends():
     a = " ".join(f"w{i}" for i in range(60))
     assert truncation.ends_early(a[: a.index("w57")] + "w5", a)
