@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.runtime import salted_join, salts_for, settle
+
 #: Most entries that the driver and the workers hold; with more, texts are joined to the entries they ask for (``asked``, ``answers``).
 MAX_ENTRIES = 1_000_000
 #: Keys that a task holds before it gives its counts out.
@@ -231,8 +233,9 @@ def answers(total: DataFrame) -> DataFrame:
     return total.unionByName(cut)
 
 
-def told(rows: list[tuple[str, str, int, int]]) -> Terminality:
+def told(answered: list[dict] | None) -> Terminality:
     """The model of the ``answers`` to what one text asked; it judges that text as the whole model does."""
+    rows = [(x["kind"], x["key"], x["n_end"], x["n_on"]) for x in answered or []]
     of = lambda kind: [r[1:] for r in rows if r[0] == kind]
     model = Terminality({k: (e, m) for k, e, m in of("w")}, {k: e for k, e, _ in of("l")})
     begins = lambda kind: sorted(x for k, e, m in of(kind) for x in [k] * e + [f"{k}\U0010ffff"] * m)
@@ -240,6 +243,13 @@ def told(rows: list[tuple[str, str, int, int]]) -> Terminality:
     return model
 
 
+def tell(asks: DataFrame, total: DataFrame, tag: str) -> DataFrame:
+    """(h, told): of the ``totals``, the answers to all (h, kind, key) that a text asks; ``asks`` are settled, and a text without any answer has no row."""
+    often = asks.groupBy("kind", "key").agg(salts_for(F.count(F.lit(1))).alias("n_salts"))
+    known = settle(answers(total).join(often, ["kind", "key"]), f"{tag}-answers")  # what nobody asks for goes
+    return salted_join(asks, known, ["kind", "key"], F.col("h")).groupBy("h").agg(F.collect_list(F.struct("kind", "key", "n_end", "n_on")).alias("told"))  # ten a text at most
+
+
 def totals(texts: DataFrame, text: Column) -> DataFrame:
     """(kind, key, n_end, n_on): the sentence ends of all texts.
 

@@ -88,7 +88,7 @@ def _score_batches(shared=None):
             ws = [terminality.words(t) for t in texts]
             if shared is None:
                 rows = batch.column("told").to_pylist()
-                complete = [terminality.told([(x["kind"], x["key"], x["n_end"], x["n_on"]) for x in r or []]).complete(t) for t, r in zip(texts, rows, strict=True)]
+                complete = [terminality.told(r).complete(t) for t, r in zip(texts, rows, strict=True)]
             else:
                 model: Terminality = shared.value
                 complete = [model.complete(t) for t in texts]
@@ -113,10 +113,7 @@ def _scored(distinct: DataFrame, max_entries: int) -> DataFrame:
     if total.count() <= max_entries:
         return distinct.mapInArrow(_score_batches(distinct.sparkSession.sparkContext.broadcast(terminality.fit(total))), schema)
     asks = settle(distinct.mapInArrow(_ask_batches, "h string, kind string, key string"), "cut-asked")
-    often = asks.groupBy("kind", "key").agg(salts_for(F.count(F.lit(1))).alias("n_salts"))
-    answers = settle(terminality.answers(total).join(often, ["kind", "key"]), "cut-answers")  # what nobody asks for goes
-    told = salted_join(asks, answers, ["kind", "key"], F.col("h")).groupBy("h").agg(F.collect_list(F.struct("kind", "key", "n_end", "n_on")).alias("told"))  # eight a text at most
-    return distinct.join(told, "h", "left").mapInArrow(_score_batches(), schema)
+    return distinct.join(terminality.tell(asks, total, "cut"), "h", "left").mapInArrow(_score_batches(), schema)
 
 
 def ends_early(cut: str, full: str) -> bool:

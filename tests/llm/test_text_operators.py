@@ -335,6 +335,32 @@ def test_defects_over_tables(spark):
     assert pairs.defects(dial.limit(0), resp.limit(0)).count() == 0
 
 
+def test_defects_do_not_depend_on_the_size_of_the_model(spark, monkeypatch):
+    """With more sentence ends than a task may hold, every pair still gets the posteriors of the whole model."""
+    import random
+
+    rng = random.Random(6)
+    bank = "мы вчера долго гуляли у тихой реки и всё-таки говорили о доме ещё 12 we walked slowly home and talked about the well-known quiet garden all evening тихо домой garden".split()
+    whole = [" ".join(rng.choice(bank) for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    said = [". ".join(rng.choices(whole, k=rng.randrange(1, 5))) + rng.choice([".", "", "…", " [...]", ",", "!"]) for _ in range(300)]
+    said += [t[: rng.randrange(1, len(t) + 1)] for t in said] + [None, "", "—", "home", "ho", "We wal", "null", "Sorry, I cannot help with this request", "{{name}} we walked"] + ["We walked slowly ho"] * 4
+    asked = [rng.choice(whole) for _ in said]
+    asked[5:60:5] = ["{{name}}"] * 11
+    e = [(i, rng.choice(["ru", "en"]), q, a) for i, (q, a) in enumerate(zip(asked, said, strict=True))]
+    resp = spark.createDataFrame(e + e[:40], "resp_id long, locale string, message string, response string")
+    dial = spark.createDataFrame([(7, [("user", "Как быть?"), ("assistant", "We walked slowly ho")])], "rec_id long, messages array<struct<role:string,content:string>>")
+
+    def found():
+        return sorted((r["tbl"], r["row_key"], r["msg_idx"], tuple(round(x, 9) for x in r["posteriors"])) for r in pairs.defects(dial, resp).collect())
+
+    want = found()
+    cut = pairs.DEFECTS.index("truncated")
+    n_open = sum(bool(pairs.asked(r[3], pairs.words(r[3]))) for r in e)
+    assert 20 < sum(r[3][cut] >= pairs.CUTOFF for r in want) < n_open - 20  # some open answers are cut, some not
+    monkeypatch.setattr(terminality, "MAX_ENTRIES", 10)
+    assert found() == want
+
+
 # --- problem 10 ---
 FULL = ["The diary shows at which hour the fear is strongest. Notice what happens in the chest before a difficult sentence.", "Repeat the pause seven times and mark what grew quieter. The body is a pointer rather than an enemy."]
 
